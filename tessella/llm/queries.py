@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm.bpe import bpe_round_trip
+from tessella.llm.common import tokenizer_path
 from tessella.llm.repetition import repetition_rules
+from tessella.llm.token_counts import token_counts
+
+#: The vocabulary of the queries; operators take its path as a parameter.
+VOCABULARY = "byte_bpe_50k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +21,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path(VOCABULARY))
+
+
 def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(_table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(_table(spark, sf_dir, "documents"), tokenizer_path(VOCABULARY))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_repetition,)}
+    return {f.__name__: f for f in (op3_digest_cache, op4_repetition, op7_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
