@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.bpe import bpe_round_trip
 from tessella.llm.common import tokenizer_path
+from tessella.llm.mixing import MIX_SQL, mix_sources
 from tessella.llm.repetition import repetition_rules
 from tessella.llm.simhash import simhash_components
 from tessella.llm.token_counts import token_counts
@@ -35,14 +36,18 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), tokenizer_path(VOCABULARY))
 
 
+def op9_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_digest_cache, op4_repetition, op7_bpe, op10_simhash)}
+    return {f.__name__: f for f in (op3_digest_cache, op4_repetition, op7_bpe, op9_fair_queueing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_fair_queueing": MIX_SQL}
