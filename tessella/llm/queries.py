@@ -13,6 +13,7 @@ from tessella.llm.mixing import MIX_SQL, mix_sources
 from tessella.llm.repetition import repetition_rules
 from tessella.llm.simhash import simhash_components
 from tessella.llm.token_counts import token_counts
+from tessella.llm.toxicity import toxicity_scores, train
 
 #: The vocabulary of the queries; operators take its path as a parameter.
 VOCABULARY = "byte_bpe_50k.json"
@@ -24,6 +25,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op3_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path(VOCABULARY))
 
@@ -46,7 +52,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_digest_cache, op4_repetition, op7_bpe, op9_fair_queueing, op10_simhash)}
+    return {f.__name__: f for f in (op2_toxicity, op3_digest_cache, op4_repetition, op7_bpe, op9_fair_queueing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
