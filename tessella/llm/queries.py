@@ -13,6 +13,7 @@ from tessella.llm.mixing import MIX_SQL, mix_sources
 from tessella.llm.repetition import repetition_rules
 from tessella.llm.simhash import simhash_components
 from tessella.llm.token_counts import token_counts
+from tessella.llm.topk import TOP_K_SQL, exact_top_k
 from tessella.llm.toxicity import toxicity_scores, train
 
 #: The vocabulary of the queries; operators take its path as a parameter.
@@ -38,6 +39,10 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(_table(spark, sf_dir, "documents"))
 
 
+def op5_no_random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), tokenizer_path(VOCABULARY))
 
@@ -52,8 +57,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_toxicity, op3_digest_cache, op4_repetition, op7_bpe, op9_fair_queueing, op10_simhash)}
+    return {f.__name__: f for f in (op2_toxicity, op3_digest_cache, op4_repetition, op5_no_random_access, op7_bpe, op9_fair_queueing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_fair_queueing": MIX_SQL}
+    return {"op5_no_random_access": TOP_K_SQL, "op9_fair_queueing": MIX_SQL}
