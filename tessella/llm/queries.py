@@ -12,6 +12,7 @@ from tessella.llm.common import tokenizer_path
 from tessella.llm.mixing import MIX_SQL, mix_sources
 from tessella.llm.repetition import repetition_rules
 from tessella.llm.simhash import simhash_components
+from tessella.llm.style_tree import extract_text
 from tessella.llm.token_counts import token_counts
 from tessella.llm.topk import TOP_K_SQL, exact_top_k
 from tessella.llm.toxicity import toxicity_scores, train
@@ -47,6 +48,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), tokenizer_path(VOCABULARY))
 
 
+def op8_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op9_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_toxicity, op3_digest_cache, op4_repetition, op5_no_random_access, op7_bpe, op9_fair_queueing, op10_simhash)}
+    return {f.__name__: f for f in (op2_toxicity, op3_digest_cache, op4_repetition, op5_no_random_access, op7_bpe, op8_style_tree, op9_fair_queueing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
