@@ -14,6 +14,7 @@ from tessella.llm.repetition import repetition_rules
 from tessella.llm.simhash import simhash_components
 from tessella.llm.style_tree import extract_text
 from tessella.llm.token_counts import token_counts
+from tessella.llm.token_files import token_files
 from tessella.llm.topk import TOP_K_SQL, exact_top_k
 from tessella.llm.toxicity import toxicity_scores, train
 
@@ -27,6 +28,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(_table(spark, sf_dir, "documents"), tokenizer_path(VOCABULARY))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity_scores(docs, train(docs, _table(spark, sf_dir, "labels")))
@@ -62,7 +67,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_toxicity, op3_digest_cache, op4_repetition, op5_no_random_access, op7_bpe, op8_style_tree, op9_fair_queueing, op10_simhash)}
+    return {f.__name__: f for f in (op1_rans, op2_toxicity, op3_digest_cache, op4_repetition, op5_no_random_access, op7_bpe, op8_style_tree, op9_fair_queueing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
