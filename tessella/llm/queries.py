@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.llm.bpe import bpe_round_trip
 from tessella.llm.common import tokenizer_path
 from tessella.llm.mixing import MIX_SQL, mix_sources
+from tessella.llm.repeats import repeated_passages
 from tessella.llm.repetition import repetition_rules
 from tessella.llm.simhash import simhash_components
 from tessella.llm.style_tree import extract_text
@@ -49,6 +50,10 @@ def op5_no_random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_merged_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), tokenizer_path(VOCABULARY))
 
@@ -67,7 +72,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_rans, op2_toxicity, op3_digest_cache, op4_repetition, op5_no_random_access, op7_bpe, op8_style_tree, op9_fair_queueing, op10_simhash)}
+    return {f.__name__: f for f in (op1_rans, op2_toxicity, op3_digest_cache, op4_repetition, op5_no_random_access, op6_merged_bwt, op7_bpe, op8_style_tree, op9_fair_queueing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
