@@ -115,3 +115,16 @@ def repetition_rules(docs: DataFrame) -> DataFrame:
     """One row per document with its repetition figures and the verdict ``kept``."""
     kinds = {pa.int64(): "long", pa.bool_(): "boolean"}
     return only(docs, "doc_id", "text").mapInArrow(_judge, ", ".join(f"{f.name} {kinds[f.type]}" for f in _SCHEMA))
+
+
+def _keep(at: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([measure(x.as_py())[6] for x in batch.column(at)], pa.bool_()))
+
+    return each
+
+
+def keep_documents(docs: DataFrame) -> DataFrame:
+    """The documents that the rules keep, with all their columns."""
+    return docs.mapInArrow(_keep(docs.columns.index("text")), docs.schema)
