@@ -29,7 +29,7 @@ from tessella.llm.common import only
 #: The byte-level split of texts into pretokens (fixed value of the public vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pretokens that one generation of a worker's memory holds, and the longest of them.
-MEMORY, LONGEST = 300_000, 64
+MEMORY, LONGEST = 500_000, 64
 _PLACE = 1 << 32
 _EVERYWHERE = regex.compile(PATTERN).findall
 #: White space below U+3000 (fixed values of Unicode).
@@ -83,7 +83,7 @@ class BytePairs:
         self.strings |= {i: content.encode() for content, i in added.items()}
         self.added = added
         self.added_split = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
-        self.find = _EVERYWHERE
+        self.find = pretokens
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
