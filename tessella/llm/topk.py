@@ -1,12 +1,14 @@
 """Exact top-k search by aggregation without random access.
 
 Vectors become integers, floor(64 * x). For a block of candidates every dimension has
-a list sorted by value. A query reads all its lists from their best end, in steps: all
-frontiers fall by the same score, and each step adds what lies between two frontiers.
-For a candidate the entries read give a lower bound, with the worst of each list for
-those not read, and an upper bound, with the frontier for those. Reading stops when
-few candidates have an upper bound at the k-th best lower bound; no other can qualify.
-The scores of those left are then resolved. Blocks' rankings are merged.
+a list sorted by value. A query reads each list sequentially from its best end, to one
+half, then three quarters, then all. For a candidate the entries read give a lower
+bound, with the worst of each list for those not read, and an upper bound, with the
+entry where reading stopped. The bar is the k-th best score of the blocks before, or
+without any the k-th best lower bound; a candidate whose upper bound is under it cannot
+qualify. Reading stops when few are left; their scores are resolved and raise the bar.
+
+A task takes one block of queries through a group of blocks; groups' rankings are merged.
 
 Rows take no part if vec_id is null, or the vector is null or empty or holds a null or
 non-finite component or one of 16,384 or more in size (scores are then sure to be
@@ -24,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import only, stage
+from tessella.llm.common import only, partitions, stage
 
 SCALE, EVERY, K = 64, 20, 20
-#: Rows of a candidate block and of a query block.
-BLOCK, QUERIES = 8192, 1024
+#: Rows of a candidate block and of a query block, and candidate blocks of a group.
+BLOCK, QUERIES, GROUP = 8192, 512, 32
 _LARGEST = 16_384.0
-#: Reading stops at this many possible winners for each wanted, or when the lists end.
-SLACK = 8
+#: How far lists are read, and the share of a block that may be left when reading stops.
+DEPTHS, LEFT = (0.5, 0.75, 1.0), 0.35
 
 
 class Lists:
@@ -39,64 +41,54 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.values = ids, values.astype(np.int64)
-        self.order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.sorted = np.take_along_axis(values, self.order.T.astype(np.int64), axis=0).T.astype(np.int64).copy()
-
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """vec_ids and scores of the best k, ties to the smaller vec_id, without ``own``."""
-        size = len(self.ids)
+        self.largest = int(np.abs(self.values).max(initial=0))
+        by = np.argsort(values, axis=0, kind="stable")
+        self.order = np.ascontiguousarray(by.T.astype(np.int32))
+        self.sorted = np.ascontiguousarray(np.take_along_axis(values, by, axis=0).T.astype(np.int64))
+        self.narrow = self.sorted.astype(np.int32)
+
+    def search(self, query: np.ndarray, own: int, k: int, before: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """vec_ids and scores of the best k of this block and ``before``, ties to the smaller vec_id, without ``own``."""
         query = query.astype(np.int64)
-        winners = self._read(query, k + int((self.ids == own).sum())) if size > 4 * k else np.arange(size)
+        bar = int(before[1][-1]) if before is not None and len(before[1]) == k else None
+        winners = self._read(query, k + int((self.ids == own).sum()), bar) if len(self.ids) > 4 * k else np.arange(len(self.ids))
         scores = self.values[winners] @ query
         ids = self.ids[winners]
         other = ids != own
         ids, scores = ids[other], scores[other]
+        if before is not None:
+            ids, scores = np.concatenate((before[0], ids)), np.concatenate((before[1], scores))
         best = np.lexsort((ids, -scores))[:k]
         return ids[best], scores[best]
 
-    def _read(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Every candidate that can be among the best k, ties included."""
+    def _read(self, query: np.ndarray, k: int, bar: int | None) -> np.ndarray:
+        """Every candidate that can be among the best k or reach the bar, ties included."""
         size = len(self.ids)
-        lists = np.flatnonzero(query)
-        if not len(lists):
-            return np.arange(size)
-        q = query[lists]
-        ends = np.where(q > 0, self.sorted[lists, -1], self.sorted[lists, 0]) * q
-        worst = np.where(q > 0, self.sorted[lists, 0], self.sorted[lists, -1]) * q
-        fall = max(1, int(-(-(ends - worst).max() // 12)))
-        read = np.zeros(len(lists), np.int64)
-        # what has been read of a candidate: score above the worst, score below the best, entries
-        above, below, entries = np.zeros(size), np.zeros(size), np.zeros(size)
-        step = 0
+        lists = np.flatnonzero(query).tolist()
+        # sums of 32 bits where they can hold them
+        small = self.largest * int(np.abs(query).sum()) < 1 << 29
+        kind, values = (np.int32, self.narrow) if small else (np.int64, self.sorted)
         left = np.arange(size)
-        while (read < size).any():
-            # lists are read faster at first, where they are sparse
-            step += 3 if step == 0 else 1
-            frontier = ends - step * fall
-            for j, d in enumerate(lists.tolist()):
-                if read[j] == size:
-                    continue
-                a, c = int(read[j]), int(q[j])
-                if c > 0:
-                    upto = size - int(np.searchsorted(self.sorted[d], -(-int(frontier[j]) // c), "left"))
-                    part = slice(size - upto, size - a)
-                else:
-                    upto = int(np.searchsorted(self.sorted[d], int(frontier[j]) // c, "right"))
-                    part = slice(a, upto)
-                if upto > a:
-                    at = self.order[d, part]
-                    got = self.sorted[d, part] * c
-                    above[at] += got - worst[j]
-                    below[at] += ends[j] - got
-                    entries[at] += 1
-                    read[j] = upto
-            if step < 5:
-                continue
-            lower = above  # and the sum of the worst, equal for all
-            upper = float((ends - worst).sum()) - below - step * fall * (len(lists) - entries)
-            bar = np.partition(lower, size - k)[size - k]
-            left = np.flatnonzero(upper >= bar)
-            if len(left) <= SLACK * k:
+        for depth in DEPTHS:
+            read = int(size * depth)
+            # over the entries where reading stopped, and over the worst ones
+            gained, known = np.zeros(size, kind), np.zeros(size, kind)
+            stopped = floor = 0
+            for d in lists:
+                c = int(query[d])
+                part = slice(size - read, size) if c > 0 else slice(0, read)
+                got = values[d, part] * kind(c)
+                last = got[0] if c > 0 else got[-1]
+                at = self.order[d, part]
+                gained[at] += got - last
+                stopped += int(last)
+                if bar is None:
+                    worst = c * int(values[d, 0] if c > 0 else values[d, -1])
+                    known[at] += got - kind(worst)
+                    floor += worst
+            reach = np.partition(known, size - k)[size - k] + floor if bar is None else bar
+            left = np.flatnonzero(gained >= reach - stopped)
+            if len(left) <= LEFT * size:
                 break
         return left
 
@@ -113,6 +105,15 @@ def integers(vectors: pa.Array) -> list[np.ndarray | None]:
     return found
 
 
+def _store(values: np.ndarray) -> bytes:
+    return values.astype("<i2" if np.abs(values).max(initial=0) < 1 << 15 else "<i4").tobytes()
+
+
+def _load(raw: pa.Scalar, rows: int, dim: int) -> np.ndarray:
+    buffer = raw.as_buffer()
+    return np.frombuffer(buffer, f"<i{buffer.size // (rows * dim)}").reshape(rows, dim)
+
+
 def _pack(size: int, queries: bool):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list[int], list[np.ndarray]]] = {}
@@ -120,7 +121,7 @@ def _pack(size: int, queries: bool):
         def block(dim: int) -> pa.RecordBatch:
             ids, rows = held.pop(dim)
             values = np.stack(rows)
-            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "ids": pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), "vectors": pa.array([values.astype("<i4").tobytes()], pa.binary())})
+            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "ids": pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), "vectors": pa.array([_store(values)], pa.binary())})
 
         for batch in batches:
             for vec_id, v in zip(batch.column(0).to_pylist(), integers(batch.column(1))):
@@ -139,22 +140,37 @@ def _pack(size: int, queries: bool):
 
 def _search(k: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, vectors, found = None, np.zeros(0, np.int64), np.zeros((0, 0)), []
+
+        def ranking() -> pa.RecordBatch:
+            sizes = [len(x) for x, _ in found]
+            return pa.RecordBatch.from_pydict(
+                {
+                    "q": pa.array([now[0]] * sum(sizes), pa.int64()),
+                    "place": pa.array(np.repeat(np.arange(len(own)), sizes), pa.int32()),
+                    "query_id": pa.array(np.repeat(own, sizes), pa.int64()),
+                    "vec_id": pa.array(np.concatenate([x for x, _ in found]), pa.int64()),
+                    "score": pa.array(np.concatenate([y for _, y in found]), pa.int64()),
+                }
+            )
+
         for batch in batches:
-            for dim, ids, vectors, block, query_ids, query_vectors in zip(*(batch.column(i) for i in range(6))):
-                n = dim.as_py()
-                lists = Lists(np.frombuffer(ids.as_buffer(), "<i8"), np.frombuffer(vectors.as_buffer(), "<i4").reshape(-1, n))
-                own = np.frombuffer(query_ids.as_buffer(), "<i8")
-                found = [lists.search(q, i, k) for i, q in zip(own.tolist(), np.frombuffer(query_vectors.as_buffer(), "<i4").reshape(-1, n))]
-                sizes = [len(x) for x, _ in found]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "q": pa.array([block.as_py()] * sum(sizes), pa.int64()),
-                        "place": pa.array(np.repeat(np.arange(len(own)), sizes), pa.int32()),
-                        "query_id": pa.array(np.repeat(own, sizes), pa.int64()),
-                        "vec_id": pa.array(np.concatenate([x for x, _ in found]) if found else [], pa.int64()),
-                        "score": pa.array(np.concatenate([y for _, y in found]) if found else [], pa.int64()),
-                    }
-                )
+            for q, g, dim, ids, candidates, query_ids, queries in zip(*(batch.column(i) for i in range(7))):
+                if (q.as_py(), g.as_py()) != now:
+                    if found:
+                        yield ranking()
+                    now, own = (q.as_py(), g.as_py()), np.frombuffer(query_ids.as_buffer(), "<i8").copy()
+                    vectors = _load(queries, len(own), dim.as_py()).copy()
+                    found = [None] * len(own)
+                block_ids = np.frombuffer(ids.as_buffer(), "<i8")
+                values = _load(candidates, len(block_ids), dim.as_py())
+                # a group's first block begins with small ones, which give a bar
+                for a, b in [(0, 4 * k), (4 * k, 32 * k), (32 * k, len(values))] if found[0] is None else [(0, len(values))]:
+                    if a < min(b, len(values)):
+                        lists = Lists(block_ids[a:b], values[a:b])
+                        found = [lists.search(v, i, k, before) for v, i, before in zip(vectors, own.tolist(), found)]
+        if found:
+            yield ranking()
 
     return each
 
@@ -169,10 +185,13 @@ def exact_top_k(vectors: DataFrame, k: int = K) -> DataFrame:
     blocks, _ = stage(dealt.mapInArrow(_pack(BLOCK, False), kinds).withColumn("c", F.monotonically_increasing_id()), "candidate-blocks")
     asked = rows.filter(F.col("vec_id") % EVERY == 0).repartition(max(1, -(-n // (BLOCK * EVERY // 8))))
     queries, _ = stage(asked.mapInArrow(_pack(QUERIES, True), kinds).withColumn("q", F.monotonically_increasing_id()), "query-blocks")
+    n_blocks = blocks.count()
+    groups = max(1, -(-n_blocks // GROUP))
     # numbers of blocks: a few bytes for each thousand rows
-    grid = blocks.select("c", F.col("dim")).join(queries.select("q", F.col("dim")), "dim").select("c", "q")
+    grid = blocks.select("c", "dim").join(queries.select("q", "dim"), "dim").select("c", "q", F.pmod(F.xxhash64("c"), F.lit(groups)).cast("int").alias("g"))
     pairs = grid.join(blocks, "c").join(queries.select("q", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors")), "q")
-    pairs = pairs.repartition(max(spark.sparkContext.defaultParallelism, min(1000, -(-n // BLOCK) * 4))).select("dim", "ids", "vectors", "q", "query_ids", "query_vectors")
+    tasks = max(spark.sparkContext.defaultParallelism, partitions(spark))
+    pairs = pairs.repartition(tasks, "q", "g").sortWithinPartitions("q", "g").select("q", "g", "dim", "ids", "vectors", "query_ids", "query_vectors")
     found = pairs.mapInArrow(_search(k), "q long, place int, query_id long, vec_id long, score long")
     order = Window.partitionBy("q", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
