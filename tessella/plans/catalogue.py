@@ -2,40 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Make a query known under ``name``, with SQL for its rows where SQL can say it."""
-
-    def keep(query: Query) -> Query:
-        _QUERIES[name] = query
-        if sql:
-            _SQL[name] = sql
-        return query
-
-    return keep
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from tessella.operators.preprocessing import StandardScaler
+from tessella.plans import statistics, tables  # noqa: F401  they register their queries
+from tessella.plans.registry import QUERIES, SQL, Query, rounded, table
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Descriptive statistics of event values by type."""
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")).orderBy("event_type")
+    """Scaled line items: scan, fit by one aggregate, transform, then moments and share of each class."""
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    scaled = StandardScaler().fit_transform(table(spark, sf_dir, "lineitem").select(*columns, "l_returnflag"), columns)
+    found = scaled.groupBy("l_returnflag").agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("var", F.var_pop))])
+    return rounded(found.orderBy("l_returnflag"), [c for c in found.columns if c not in ("l_returnflag", "n")])
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
