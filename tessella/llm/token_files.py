@@ -21,7 +21,9 @@ end id alone. An empty table gives a store without blocks.
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,11 +43,16 @@ BITS, LOW = 20, 1 << 31
 LANES, BLOCK, CHECKPOINT = 1024, 1 << 18, 128
 #: Pretokens that one generation of a worker's memory holds.
 REMEMBERED = 450_000
+#: Characters of texts whose new pretokens go to the library together.
+GROUP = 1 << 20
 _HEAD = struct.Struct("<4sHHIIQI")
 
 
 def _bytes_of(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    found = array("I", ids)
+    if sys.byteorder != "little":
+        found.byteswap()
+    return found.tobytes()
 
 
 class LibraryEncoder:
@@ -69,27 +76,48 @@ class LibraryEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _part(self, text: str) -> bytes:
-        pretokens = self.find(text)
-        parts = list(map(self.young.get, pretokens))
-        if None in parts:
-            missing = list({p for p, found in zip(pretokens, parts) if found is None})
-            known = {p: self.old[p] for p in missing if p in self.old}
-            new = [p for p in missing if p not in known] if known else missing
-            known.update((p, _bytes_of(x.ids)) for p, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)))
-            parts = [x or known[p] for x, p in zip(parts, pretokens)]
-            if len(self.young) + len(known) > REMEMBERED:
-                self.old, self.young = self.young, {}
-            self.young.update(known if all(len(p) <= LONGEST for p in known) else {p: x for p, x in known.items() if len(p) <= LONGEST})
-        return b"".join(parts)
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """The ids of pretokens that aren't in the younger generation, by one call of the library."""
+        known = {p: self.old[p] for p in missing if p in self.old}
+        new = [p for p in missing if p not in known]
+        known.update((p, _bytes_of(x.ids)) for p, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)))
+        if len(self.young) + len(known) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        self.young.update(known if all(len(p) <= LONGEST for p in known) else {p: x for p, x in known.items() if len(p) <= LONGEST})
+        return known
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        if not self.by_pretoken:
+            return [_bytes_of(self.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+        found: list[list] = []
+        gaps: list[tuple[list, int, str]] = []
+        get = self.young.get
+        for text in texts:
+            if self.split and any(a in text for a in self.added):
+                own: list = []
+                for i, part in enumerate(self.split.split(text)):
+                    if i % 2:
+                        own.append(struct.pack("<I", self.added[part]))
+                    else:
+                        pretokens = self.find(part)
+                        gaps += [(own, len(own) + k, p) for k, p in enumerate(pretokens)]
+                        own += [b""] * len(pretokens)
+            else:
+                pretokens = self.find(text)
+                own = list(map(get, pretokens))
+                if None in own:
+                    gaps += [(own, k, pretokens[k]) for k, x in enumerate(own) if x is None]
+            found.append(own)
+        if gaps:
+            wanted = {p for _, _, p in gaps}
+            known = {p: self.young[p] for p in wanted if p in self.young} | self._learn({p for p in wanted if p not in self.young})
+            for own, k, p in gaps:
+                own[k] = known[p]
+        return [b"".join(own) for own in found]
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not self.by_pretoken:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.split and any(a in text for a in self.added):
-            return b"".join(struct.pack("<I", self.added[p]) if i % 2 else self._part(p) for i, p in enumerate(self.split.split(text)))
-        return self._part(text)
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -191,6 +219,23 @@ def decode_block(payload: bytes, table: Table, checkpoint: int | None = None) ->
     return out
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Ids and texts of rows, some ``GROUP`` characters at once."""
+    ids: list[int | None] = []
+    texts: list[str] = []
+    size = 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids.append(doc_id)
+            texts.append(text.as_py() or "")
+            size += len(texts[-1])
+            if size >= GROUP:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def _tokenise(path: str, end: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = library_encoder(path), TaskContext.get().partitionId()
@@ -208,12 +253,11 @@ def _tokenise(path: str, end: int):
             planes = ids.view(np.uint8).reshape(-1, ids.itemsize).T.tobytes()
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "docs": pa.array([docs], pa.list_(pa.int64())), "counts": pa.array([counts], pa.list_(pa.int64())), "planes": pa.array([planes], pa.binary())})
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = encoder.encode(text.as_py() or "") + last
+        for doc_ids, texts in _groups(batches):
+            for doc_id, own in zip(doc_ids, encoder.encode_all(texts)):
                 docs.append(doc_id)
-                counts.append(len(own) // 4)
-                parts.append(own)
+                counts.append(len(own) // 4 + 1)
+                parts += (own, last)
                 size += counts[-1]
                 if size >= BLOCK:
                     yield row()
