@@ -64,10 +64,11 @@ def host_of(url: str | None) -> str:
 
 
 class Node:
-    __slots__ = ("tag", "path", "noise", "content", "children", "blocks")
+    __slots__ = ("tag", "path", "named", "noise", "content", "children", "blocks")
 
-    def __init__(self, tag: str, path: str, noise: bool, content: bool):
-        self.tag, self.path, self.noise, self.content = tag, path, noise, content
+    def __init__(self, tag: str, path: str, named: bool, noise: bool, content: bool):
+        # named: noise by its name or an ancestor's; noise: by that or by importance
+        self.tag, self.path, self.named, self.noise, self.content = tag, path, named, noise, content
         self.children: list[str] = []
         self.blocks: list[str] = []
 
@@ -75,7 +76,7 @@ class Node:
 def read_page(page: str | None, removed: frozenset[str] | set[str] = frozenset()) -> tuple[list[Node], list[str], bool]:
     """The page's nodes, its kept text blocks in order, and whether they are an article's."""
     page = page or ""
-    root = Node("", "", False, False)
+    root = Node("", "", False, False, False)
     stack, nodes = [root], [root]
     blocks: list[tuple[str, bool, Node]] = []  # text, whether an article's, where
     pieces: list[str] = []
@@ -121,8 +122,8 @@ def read_page(page: str | None, removed: frozenset[str] | set[str] = frozenset()
         if tag in VOID_TAGS and tag != "hr":
             continue
         names = {w for _, v in _ATTRIBUTE.findall(token[3]) for w in re.split(r"[\s_-]+", v.strip("\"'").lower())} if token[3] else set()
-        noise = stack[-1].noise or tag in NOISE_TAGS or bool(names & NOISE_NAMES)
-        if block or noise:
+        named = stack[-1].named or tag in NOISE_TAGS or bool(names & NOISE_NAMES)
+        if block or named:
             flush()
         if block:
             # a paragraph ends where a block begins, an item where the next begins
@@ -132,13 +133,13 @@ def read_page(page: str | None, removed: frozenset[str] | set[str] = frozenset()
                     break
                 if stack[i].tag in BLOCK_TAGS:
                     break
-            noise = stack[-1].noise or tag in NOISE_TAGS or bool(names & NOISE_NAMES)
+            named = stack[-1].named or tag in NOISE_TAGS or bool(names & NOISE_NAMES)
         if tag in RAW_TAGS:
             shut = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(page, at)
             at = page.find(">", shut.start()) + 1 if shut else size
             at = at or size
             continue
-        if tag == "hr" or not block and not noise and tag not in CONTENT_TAGS:
+        if tag == "hr" or not block and not named and tag not in CONTENT_TAGS:
             continue
         style = tag + "".join("." + n for n in sorted(names) if n.isalpha())
         stack[-1].children.append(style)
@@ -146,9 +147,8 @@ def read_page(page: str | None, removed: frozenset[str] | set[str] = frozenset()
             path = f"{stack[-1].path}>{style}"
         else:
             path = stack[-1].path
-        content = stack[-1].content or tag in CONTENT_TAGS
-        noise = noise or (not content and path in removed)
-        node = Node(tag, path, noise, content and not noise)
+        content = not named and (stack[-1].content or tag in CONTENT_TAGS)
+        node = Node(tag, path, named, named or not content and (stack[-1].noise or path in removed), content)
         stack.append(node)
         nodes.append(node)
     flush()
