@@ -97,6 +97,14 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _swell(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
     digests: list[str] = []
@@ -105,7 +113,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"pack": pa.array([number], pa.int64()), "digests": pa.array([digests], pa.list_(pa.string())), "ids": pa.array([ids], pa.list_(pa.int64())), "sizes": pa.array([list(map(len, texts))], pa.list_(pa.int64())), "text": pa.array([b"".join(texts)], pa.binary())})
+        return pa.RecordBatch.from_pydict({"pack": pa.array([number], pa.int64()), "digests": pa.array([digests], pa.list_(pa.string())), "ids": pa.array([ids], pa.list_(pa.int64())), "sizes": pa.array([list(map(len, texts))], pa.list_(pa.int64())), "text": pa.array([_squeeze(b"".join(texts))], pa.binary())})
 
     for batch in batches:
         for digest, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -122,7 +130,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(sizes: pa.Scalar, text: pa.Scalar) -> list[np.ndarray]:
-    whole = np.frombuffer(text.as_buffer(), np.uint8)
+    whole = np.frombuffer(_swell(text.as_py()), np.uint8)
     ends = np.cumsum(np.array(sizes.as_py(), np.int64))
     return [whole[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
@@ -237,7 +245,7 @@ def _strings(buckets: int):
                     mine = order[a:b]
                     some = [strings[i] for i in mine.tolist()]
                     lengths = np.fromiter(map(len, some), np.uint8, len(some))
-                    out.append((k, np.array([len(some)], "<u4").tobytes() + hashes[mine].astype("<u8").tobytes() + lows[mine].astype("<i8").tobytes() + lengths.tobytes() + b"".join(some)))
+                    out.append((k, _squeeze(np.array([len(some)], "<u4").tobytes() + hashes[mine].astype("<u8").tobytes() + lows[mine].astype("<i8").tobytes() + lengths.tobytes() + b"".join(some))))
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([pack] * len(out), pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["bucket", "pack", "blob"])
 
     return each
@@ -276,7 +284,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors: list[int] = []
         lows: list[int] = []
         members: list[np.ndarray] = []
-        for _, blob in rows:
+        for _, packed in rows:
+            blob = _swell(packed)
             n = int(np.frombuffer(blob, "<u4", 1)[0])
             hashes = np.frombuffer(blob, "<u8", n, 4).tolist()
             least = np.frombuffer(blob, "<i8", n, 4 + 8 * n).tolist()
@@ -347,7 +356,7 @@ def _remove(with_text: bool):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for digests, ids, sizes, text, occurrences, verdicts in zip(*(batch.column(i) for i in range(6))):
-                whole = np.frombuffer(text.as_buffer(), np.uint8)
+                whole = np.frombuffer(_swell(text.as_py()), np.uint8)
                 lengths = np.array(sizes.as_py(), np.int64)
                 gone = None
                 if occurrences.is_valid and verdicts.is_valid:
