@@ -20,12 +20,14 @@ end id alone. An empty table gives a store without blocks.
 
 from __future__ import annotations
 
+import gc
 import struct
 import sys
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ from tessella.llm.token_counts import load_tokenizer
 
 END = 2
 BITS, LOW = 20, 1 << 31
-LANES, BLOCK, CHECKPOINT = 1024, 1 << 18, 128
+LANES, BLOCK, CHECKPOINT = 4096, 1 << 20, 64
 #: Pretokens that one generation of a worker's memory holds.
 REMEMBERED = 450_000
 #: Characters of texts whose new pretokens go to the library together.
@@ -80,7 +82,10 @@ class LibraryEncoder:
         """The ids of pretokens that aren't in the younger generation, by one call of the library."""
         known = {p: self.old[p] for p in missing if p in self.old}
         new = [p for p in missing if p not in known]
-        known.update((p, _bytes_of(x.ids)) for p, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)))
+        lists = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        whole, at = _bytes_of(list(chain.from_iterable(lists))), 0
+        for p, ids in zip(new, lists):
+            known[p] = whole[at : (at := at + 4 * len(ids))]
         if len(self.young) + len(known) > REMEMBERED:
             self.old, self.young = self.young, {}
         self.young.update(known if all(len(p) <= LONGEST for p in known) else {p: x for p, x in known.items() if len(p) <= LONGEST})
@@ -150,7 +155,7 @@ class Table:
         self.frequency[self.symbols] = scaled
         self.start = np.zeros(size, np.uint64)
         self.start[self.symbols] = np.concatenate(([0], np.cumsum(scaled)[:-1])) if len(scaled) else 0
-        self.at = np.repeat(self.symbols, scaled)
+        self.at = np.repeat(self.symbols, scaled).astype(np.uint16 if size <= 1 << 16 else np.uint32)
 
 
 def encode_block(ids: np.ndarray, table: Table) -> bytes:
@@ -202,7 +207,7 @@ def decode_block(payload: bytes, table: Table, checkpoint: int | None = None) ->
         first, place = struct.unpack("<IQ", body[where : where + 12])
         state = np.frombuffer(body[where + 12 : where + mark], "<u8").copy()
         steps = min(steps, first + every)
-    out = np.empty(min(n, steps * lanes) - first * lanes, np.int64)
+    out = np.empty(min(n, steps * lanes) - first * lanes, np.uint32)
     slots, bits, low, shift = np.uint64((1 << BITS) - 1), np.uint64(BITS), np.uint64(LOW), np.uint64(32)
     for step in range(first, steps):
         x = state[: min(lanes, n - step * lanes)]
@@ -244,17 +249,29 @@ def _tokenise(path: str, end: int):
         counts: list[int] = []
         parts: list[bytes] = []
         size = block = 0
+        total = np.zeros(1, np.int64)
+
+        def emit(docs, counts, planes, symbols) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "docs": pa.array([docs], pa.list_(pa.int64())), "counts": pa.array([counts], pa.list_(pa.int64())), "planes": pa.array([planes], pa.binary()), "symbols": pa.array([symbols], pa.list_(pa.int64()))})
 
         def row() -> pa.RecordBatch:
+            nonlocal total
             ids = np.frombuffer(b"".join(parts), "<u4")
+            found = np.bincount(ids)
+            if len(found) > len(total):
+                found, total = total, found
+            total[: len(found)] += found
             if not len(ids) or ids.max() < 65536:
                 ids = ids.astype("<u2")
             # high and low bytes apart, which the staged table's codec likes better
             planes = ids.view(np.uint8).reshape(-1, ids.itemsize).T.tobytes()
-            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "docs": pa.array([docs], pa.list_(pa.int64())), "counts": pa.array([counts], pa.list_(pa.int64())), "planes": pa.array([planes], pa.binary())})
+            return emit(docs, counts, planes, None)
 
         for doc_ids, texts in _groups(batches):
-            for doc_id, own in zip(doc_ids, encoder.encode_all(texts)):
+            gc.disable()  # no cycles are made, and there are many objects to look through
+            encoded = encoder.encode_all(texts)
+            gc.enable()
+            for doc_id, own in zip(doc_ids, encoded):
                 docs.append(doc_id)
                 counts.append(len(own) // 4 + 1)
                 parts += (own, last)
@@ -265,6 +282,10 @@ def _tokenise(path: str, end: int):
                     docs, counts, parts, size = [], [], [], 0
         if docs:
             yield row()
+        # the shard's counts, as pairs of symbol and number
+        used = np.flatnonzero(total)
+        block = -1
+        yield emit(None, None, None, np.stack((used, total[used]), axis=1).ravel())
 
     return each
 
@@ -275,18 +296,6 @@ def _ids(planes: pa.Scalar, n: int) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1, np.int64)
-    for batch in batches:
-        for planes, own in zip(batch.column(1), batch.column(0).to_pylist()):
-            found = np.bincount(_ids(planes, sum(own)))
-            if len(found) > len(counts):
-                found, counts = counts, found
-            counts[: len(found)] += found
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["symbol", "n"])
-
-
 def _code(table: Table):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,12 +310,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = END
     spark = docs.sparkSession
     rows = only(docs, "doc_id", "text")
     ordered = rows.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    raw, raw_path = stage(ordered.mapInArrow(_tokenise(tokenizer, end), "shard int, block int, docs array<long>, counts array<long>, planes binary"), "token-blocks")
+    raw, raw_path = stage(ordered.mapInArrow(_tokenise(tokenizer, end), "shard int, block int, docs array<long>, counts array<long>, planes binary, symbols array<long>"), "token-blocks")
     del ordered
     release_shuffles(spark)
     # at most one row for each id of the vocabulary
-    raw.select("counts", "planes").mapInArrow(_frequencies, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).write.parquet(f"{path}/table")
-    raw.mapInArrow(_code(read_table(spark, path)), "shard int, block int, docs array<long>, counts array<long>, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    pairs = raw.filter("block = -1").select(F.explode(F.sequence(F.lit(1), (F.size("symbols") / 2).cast("int"))).alias("i"), "symbols").filter("i > 0 AND size(symbols) > 0")
+    pairs.groupBy(F.element_at("symbols", 2 * F.col("i") - 1).alias("symbol")).agg(F.sum(F.element_at("symbols", 2 * F.col("i"))).alias("n")).write.parquet(f"{path}/table")
+    raw.filter("block >= 0").drop("symbols").mapInArrow(_code(read_table(spark, path)), "shard int, block int, docs array<long>, counts array<long>, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
     remove(spark, raw_path)
 
 
@@ -319,7 +329,7 @@ def _each_document(table: Table):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, block, docs, counts, payload in zip(*(batch.column(i) for i in range(5))):
-                ids, sizes = decode_block(payload.as_py(), table).astype("<u4"), np.array(counts.as_py(), np.int64)
+                ids, sizes = decode_block(payload.as_py(), table).astype("<u4", copy=False), np.array(counts.as_py(), np.int64)
                 ends = np.cumsum(sizes)
                 n = len(sizes)
                 yield pa.RecordBatch.from_pydict(
