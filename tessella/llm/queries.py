@@ -11,7 +11,7 @@ from tessella.llm.bpe import bpe_round_trip
 from tessella.llm.common import tokenizer_path
 from tessella.llm.mixing import MIX_SQL, mix_sources
 from tessella.llm.repeats import repeated_passages
-from tessella.llm.repetition import repetition_rules
+from tessella.llm.repetition import RULES_SQL, repetition_rules
 from tessella.llm.simhash import simhash_components
 from tessella.llm.style_tree import extract_text
 from tessella.llm.token_counts import token_counts
@@ -76,4 +76,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_no_random_access": TOP_K_SQL, "op9_fair_queueing": MIX_SQL}
+    return {"op4_repetition": RULES_SQL, "op5_no_random_access": TOP_K_SQL, "op9_fair_queueing": MIX_SQL}

@@ -128,3 +128,32 @@ def _keep(at: int):
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     return docs.mapInArrow(_keep(docs.columns.index("text")), docs.schema)
+
+
+def _window_sql(n: int) -> str:
+    return f"""a{n} AS (SELECT r, i, w, list(w) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS k FROM words),
+b{n} AS (SELECT r, i, w, len(k) = {n} AND count(*) OVER (PARTITION BY r, k) > 1 AS twice FROM a{n}),
+c{n} AS (SELECT r, w, max(twice::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS inside FROM b{n}),
+d{n} AS (SELECT r, sum(inside)::BIGINT AS n, sum(inside * length(w))::BIGINT AS chars FROM c{n} GROUP BY r)"""
+
+
+RULES_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT r, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM docs)),
+counts AS (SELECT r, count(*) AS n_words, sum(length(w))::BIGINT AS word_chars FROM words GROUP BY r),
+lines AS (SELECT r, unnest(range(len(ls))) AS i, unnest(ls) AS l FROM (SELECT r, string_split(text, chr(10)) AS ls FROM docs)),
+dup AS (SELECT r, length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM (SELECT r, l, row_number() OVER (PARTITION BY r, l ORDER BY i) AS k FROM lines) WHERE k > 1),
+dups AS (SELECT r, count(*) FILTER (chars > 0) AS n, sum(chars)::BIGINT AS chars FROM dup GROUP BY r),
+{", ".join(map(_window_sql, sorted({*NGRAM_LIMITS, BASE_NGRAM})))},
+rows AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines,
+         coalesce(d{BASE_NGRAM}.n, 0) AS n_repeat_words, coalesce(dups.chars, 0) AS dup_line_chars,
+         {", ".join(f"coalesce(d{n}.chars, 0) AS dup_chars_{n}" for n in NGRAM_LIMITS)}
+  FROM docs LEFT JOIN counts USING (r) LEFT JOIN dups USING (r) {" ".join(f"LEFT JOIN d{n} USING (r)" for n in sorted({*NGRAM_LIMITS, BASE_NGRAM}))}
+), judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {BASE_PERCENT} * n_words AS base_failed FROM rows)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND dup_line_chars <= {LINE_LIMIT}::DOUBLE * word_chars AND {" AND ".join(f"dup_chars_{n} <= {most}::DOUBLE * word_chars" for n, most in NGRAM_LIMITS.items())} AS kept,
+       dup_line_chars, {", ".join(f"dup_chars_{n}" for n in NGRAM_LIMITS)}
+FROM judged
+"""
