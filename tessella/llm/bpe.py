@@ -5,7 +5,7 @@ the position of every adjacent pair that can merge; the least rank wins, then th
 leftmost. A merge leaves entries behind that no longer describe their position; they
 are recognised by their rank and skipped. Decoding concatenates vocabulary strings.
 
-Pretokens repeat, so each worker remembers their ids in two bounded generations.
+Pretokens repeat, so each worker remembers their ids, in decimal, in two bounded generations.
 Null texts are empty and have no ids. Strings of added tokens inside a text are
 those tokens. Rows are independent: repeated rows and very long texts need nothing.
 """
@@ -84,8 +84,10 @@ class BytePairs:
         self.added = added
         self.added_split = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.find = pretokens
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.by_decimal = {str(i): x for i, x in self.strings.items()}
+        # strings only: the collector, which runs after every task, needn't look into them
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pretoken."""
@@ -121,29 +123,41 @@ class BytePairs:
                     heapq.heappush(queue, rank * _PLACE + h)
         return [s for s in symbols if s >= 0]
 
-    def _learn(self, pretoken: str) -> tuple[list[int], str]:
+    def _learn(self, pretoken: str) -> str:
         found = self.old.get(pretoken)
         if found is None:
-            ids = self.merge(pretoken.encode())
-            found = ids, ",".join(map(str, ids))
+            found = ",".join(map(str, self.merge(pretoken.encode())))
         if len(pretoken) <= LONGEST:
             if len(self.young) >= MEMORY:
                 self.old, self.young = self.young, {}
             self.young[pretoken] = found
         return found
 
-    def pieces(self, text: str) -> Iterator[tuple[list[int], str]]:
-        """(ids, ids in decimal with commas) of each pretoken and added token."""
-        parts = self.added_split.split(text) if self.added_split and any(a in text for a in self.added) else [text]
-        for place, part in enumerate(parts):
-            if place % 2:
-                yield [self.added[part]], str(self.added[part])
-                continue
-            for pretoken in self.find(part):
-                yield self.young.get(pretoken) or self._learn(pretoken)
+    def _part(self, text: str) -> list[str]:
+        pretokens = self.find(text)
+        found = list(map(self.young.get, pretokens))
+        if None in found:
+            for k, known in enumerate(found):
+                if known is None:
+                    found[k] = self.young.get(pretokens[k]) or self._learn(pretokens[k])
+        return found
+
+    def decimals(self, text: str) -> str:
+        """The ids in decimal, with commas."""
+        if self.added_split and any(a in text for a in self.added):
+            found: list[str] = []
+            for place, part in enumerate(self.added_split.split(text)):
+                found += [str(self.added[part])] if place % 2 else self._part(part)
+            return ",".join(found)
+        return ",".join(self._part(text))
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.pieces(text) for i in ids]
+        written = self.decimals(text)
+        return list(map(int, written.split(","))) if written else []
+
+    def decode_decimals(self, written: str) -> str:
+        """The text of ids in decimal with commas."""
+        return b"".join(map(self.by_decimal.__getitem__, written.split(","))).decode("utf-8", "replace") if written else ""
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary strings, concatenated; bytes that aren't UTF-8 are replaced."""
@@ -162,14 +176,10 @@ def _round_trip(path: str):
         for batch in batches:
             counts, ids_digests, text_digests = [], [], []
             for value in batch.column(1):
-                ids: list[int] = []
-                decimals: list[str] = []
-                for own, written in pairs.pieces(value.as_py() or ""):
-                    ids += own
-                    decimals.append(written)
-                counts.append(len(ids))
-                ids_digests.append(hashlib.sha256(",".join(decimals).encode()).hexdigest())
-                text_digests.append(hashlib.sha256(pairs.decode(ids).encode()).hexdigest())
+                written = pairs.decimals(value.as_py() or "")
+                counts.append(written.count(",") + 1 if written else 0)
+                ids_digests.append(hashlib.sha256(written.encode()).hexdigest())
+                text_digests.append(hashlib.sha256(pairs.decode_decimals(written).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return each
