@@ -28,9 +28,42 @@ def clean(column: str | Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def row_index(*order: str) -> Column:
-    """The row's number from 0 in the given order."""
-    return F.row_number().over(Window.orderBy(*order)) - 1
+#: Rows that a window without partitions may hold; more go through ranges of the order.
+ONE_TASK_ROWS = 2_000_000
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The table without its lineage, in the folder of spark.checkpoint.dir where that is set."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            import tempfile
+
+            path = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        context.setCheckpointDir(path)
+    return df.checkpoint()
+
+
+def in_order(df: DataFrame, order: Sequence[str | Column], index: str = "__i", sums: dict[str, Column] | None = None, limit: int = ONE_TASK_ROWS) -> DataFrame:
+    """The rows with their number from 0 in the given order, and running sums of expressions.
+
+    Up to ``limit`` rows this is one window. Beyond it the table is dealt by ranges of
+    the order and stored; each range is numbered by itself and a table with one row a
+    range, which is what is broadcast, says where it begins.
+    """
+    sums = sums or {}
+    if df.count() <= limit:
+        w = Window.orderBy(*order)
+        return df.select("*", (F.row_number().over(w) - 1).cast("long").alias(index), *[F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(name) for name, x in sums.items()])
+    parts = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))
+    own, part = F.col("__m").bitwiseAND((1 << 33) - 1), F.shiftright("__m", 33)
+    totals = parts.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"), *[F.coalesce(F.sum(x), F.lit(0)).alias(f"__t_{name}") for name, x in sums.items()])
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n"), *[F.coalesce(F.sum(f"__t_{name}").over(before), F.lit(0)).alias(f"__t_{name}") for name in sums])
+    within = Window.partitionBy("__p").orderBy("__m").rowsBetween(Window.unboundedPreceding, 0)
+    found = parts.withColumn("__p", part).select("*", *[F.sum(x).over(within).alias(name) for name, x in sums.items()]).join(F.broadcast(starts), "__p")
+    return found.select(*[F.col(c) for c in df.columns], (F.col("__n") + own).alias(index), *[(F.col(f"__t_{name}") + F.col(name)).alias(name) for name in sums])
 
 
 @dataclass(frozen=True)
@@ -78,14 +111,14 @@ class Dataset:
 
     def batches(self, size: int) -> DataFrame:
         """The rows with a batch number; the last batch may be short."""
-        return self.df.withColumn("batch", F.floor(row_index(*self.order) / size))
+        return in_order(self.df, self.order).withColumn("batch", F.floor(F.col("__i") / size)).drop("__i")
 
     def train_test_split(self, test_size: float = 0.25, shuffle: bool = False, seed: int = 0) -> tuple[DataFrame, DataFrame]:
         """The tail of the order, or of a hashed order, is the test part."""
         order = [F.xxhash64(*self.order, F.lit(seed)), *self.order] if shuffle else list(self.order)
         n = self.df.count()
         cut = n - int(n * test_size + 0.5)
-        indexed = self.df.withColumn("__i", F.row_number().over(Window.orderBy(*order)) - 1)
+        indexed = in_order(self.df, order)
         return indexed.filter(F.col("__i") < cut).drop("__i"), indexed.filter(F.col("__i") >= cut).drop("__i")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.errors import InvalidInput
-from tessella.frame import clean
+from tessella.frame import clean, settled
 from tessella.operators.linear import argmax, product_sums
 from tessella.operators.neighbors import distance, neighbors
 
@@ -125,7 +125,7 @@ def min_label_components(edges: DataFrame, a: str, b: str, rounds: int = 100) ->
             new = labels.join(near, "x").select("x", F.least("root", "m").alias("root"))
             up = new.select(F.col("x").alias("root"), F.col("root").alias("top"))
             new = new.join(up, "root", "left").select("x", F.least("root", F.coalesce("top", "root")).alias("root"), F.col("root").alias("__r")).drop("__r")
-            new = _settled(new)
+            new = settled(new)
             changed = new.join(labels.withColumnRenamed("root", "old"), "x").filter("root <> old").limit(1).count()
             labels = new
             if not changed:
@@ -135,19 +135,6 @@ def min_label_components(edges: DataFrame, a: str, b: str, rounds: int = 100) ->
     return labels.withColumnRenamed("x", "node")
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """The table without its lineage, in the folder of spark.checkpoint.dir where that is set."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            import tempfile
-
-            path = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        context.setCheckpointDir(path)
-    return df.checkpoint()
-
-
 @dataclass
 class DBSCAN:
     """Density clusters: rows with min_samples rows (their own included) within eps are cores.
@@ -172,7 +159,7 @@ class DBSCAN:
         return self.links(df).groupBy("i").agg(F.count("*").alias("n")).filter(F.col("n") >= self.min_samples).select(F.col("i").alias(self.row_id), "n")
 
     def fit_predict(self, df: DataFrame) -> DataFrame:
-        links = _settled(self.links(df))
+        links = settled(self.links(df))
         cores = links.groupBy("i").agg(F.count("*").alias("n")).filter(F.col("n") >= self.min_samples).select("i")
         inner = links.join(cores, "i").join(cores.select(F.col("i").alias("j")), "j")
         roots = min_label_components(inner, "i", "j")

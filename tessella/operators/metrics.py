@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.errors import InvalidInput
+from tessella.frame import in_order
 
 
 def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -54,8 +55,9 @@ def classification_scores(df: DataFrame, y: str, p: str) -> DataFrame:
 def roc_points(df: DataFrame, y: str, score: str) -> DataFrame:
     """(threshold, tp, fp, positives, negatives) by falling score, ties together."""
     g = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(y) > 0.5).alias("p"), F.count_if(F.col(y) <= 0.5).alias("q"))
-    down, every = Window.orderBy(F.desc("threshold")), Window.partitionBy()
-    return g.select("threshold", F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(every).alias("positives"), F.sum("q").over(every).alias("negatives"), "p", "q")
+    totals = g.agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
+    running = in_order(g, [F.desc("threshold")], sums={"tp": F.col("p"), "fp": F.col("q")})
+    return running.join(F.broadcast(totals), F.lit(True)).select("threshold", "tp", "fp", "positives", "negatives", "p", "q")  # one row of totals
 
 
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:

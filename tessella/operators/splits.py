@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.frame import in_order
+
 
 def _seeded(order: Sequence[str], seed: int | None):
     return [F.xxhash64(*order, F.lit(seed)), *order] if seed is not None else list(order)
@@ -15,11 +17,10 @@ def _seeded(order: Sequence[str], seed: int | None):
 
 def kfold(df: DataFrame, k: int, order: Sequence[str], name: str = "fold", seed: int | None = None) -> DataFrame:
     """Contiguous blocks; the first n mod k have one row more. With a seed the order is hashed."""
-    by = Window.orderBy(*_seeded(order, seed))
-    i, n = F.row_number().over(by) - 1, F.count("*").over(Window.partitionBy())
-    long, size = n % k, F.floor(n / k)
-    fold = F.when(i < long * (size + 1), F.floor(i / (size + 1))).otherwise(long + F.floor(F.try_divide(i - long * (size + 1), size)))
-    return df.withColumn(name, fold.cast("int"))
+    n, i = df.count(), F.col("__i")
+    long, size = n % k, n // k
+    fold = F.when(i < long * (size + 1), F.floor(i / (size + 1))).otherwise(long + F.floor((i - long * (size + 1)) / max(size, 1)))
+    return in_order(df, _seeded(order, seed)).withColumn(name, fold.cast("int")).drop("__i")
 
 
 def repeated_kfold(df: DataFrame, k: int, repeats: int, order: Sequence[str], seed: int = 0) -> DataFrame:
@@ -29,8 +30,11 @@ def repeated_kfold(df: DataFrame, k: int, repeats: int, order: Sequence[str], se
 
 def stratified_kfold(df: DataFrame, k: int, label: str, order: Sequence[str], name: str = "fold", seed: int | None = None) -> DataFrame:
     """Round-robin within each class."""
-    by = Window.partitionBy(label).orderBy(*_seeded(order, seed))
-    return df.withColumn(name, ((F.row_number().over(by) - 1) % k).cast("int"))
+    # the place within a class is the place in the order by class, less where the class begins
+    starts = df.groupBy(F.col(label).alias("__c")).agg(F.count("*").alias("__n"))
+    starts = starts.select("__c", F.coalesce(F.sum("__n").over(Window.orderBy(F.col("__c").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__n"))
+    numbered = in_order(df, [F.col(label).asc_nulls_first(), *_seeded(order, seed)])
+    return numbered.join(F.broadcast(starts), F.col(label).eqNullSafe(F.col("__c"))).withColumn(name, ((F.col("__i") - F.col("__n")) % k).cast("int")).drop("__i", "__c", "__n")  # one row a class
 
 
 def repeated_stratified_kfold(df: DataFrame, k: int, repeats: int, label: str, order: Sequence[str], seed: int = 0) -> DataFrame:
@@ -81,7 +85,7 @@ def time_series_split(df: DataFrame, splits: int, order: Sequence[str], test_siz
     """Rows (split, part) with part train or test; training ends ``gap`` rows before the test."""
     n = df.count()
     size = test_size or n // (splits + 1)
-    indexed = df.withColumn("__i", F.row_number().over(Window.orderBy(*order)) - 1)
+    indexed = in_order(df, order)
     parts = []
     for s in range(splits):
         start = n - (splits - s) * size
@@ -108,5 +112,5 @@ def shuffle_split(df: DataFrame, splits: int, order: Sequence[str], test_size: f
     n = df.count()
     cut = int(-(-n * test_size // 1))
     return _union(
-        df.withColumn("split", F.lit(s)).withColumn("part", F.when(F.row_number().over(Window.orderBy(*_seeded(order, seed + s))) <= cut, "test").otherwise("train")) for s in range(splits)
+        in_order(df, _seeded(order, seed + s)).withColumn("split", F.lit(s)).withColumn("part", F.when(F.col("__i") < cut, "test").otherwise("train")).drop("__i") for s in range(splits)
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.errors import InvalidInput
-from tessella.frame import clean
+from tessella.frame import clean, in_order
 from tessella.functions import specfun as sf
 
 
@@ -95,7 +95,7 @@ def t_test(df: DataFrame, value: str, group: str, a, b, equal_variance: bool = F
 def average_ranks(df: DataFrame, value: Column, name: str = "rank") -> DataFrame:
     """Ranks with ties averaged, from counts of distinct values: no window holds rows."""
     g = df.groupBy(value.alias("__x")).agg(F.count("*").alias("__n"))
-    ranked = g.select("__x", "__n", (F.sum("__n").over(Window.orderBy("__x")) - (F.col("__n") - 1) / 2).alias(name))
+    ranked = in_order(g, ["__x"], sums={"__c": F.col("__n")}).select("__x", (F.col("__c") - (F.col("__n") - 1) / 2).alias(name))
     return df.join(ranked, value.eqNullSafe(F.col("__x"))).drop("__x")
 
 
@@ -132,7 +132,8 @@ def iqr_outliers(df: DataFrame, column: str, order: Sequence[str], k: float = 1.
     """Rows outside the quartiles by k ranges; quartiles are the order statistics at n/4 and 3n/4, truncated."""
     x = clean(column)
     g = df.filter(x.isNotNull()).groupBy(x.alias("v")).agg(F.count("*").alias("n"))
-    upto = g.select("v", F.sum("n").over(Window.orderBy("v")).alias("c"), F.sum("n").over(Window.partitionBy()).alias("t"))
+    total = g.agg(F.sum("n").alias("t"))
+    upto = in_order(g, ["v"], sums={"c": F.col("n")}).join(F.broadcast(total), F.lit(True))  # one row
     q = upto.agg(F.min(F.when(F.col("c") > F.floor(F.col("t") / 4), F.col("v"))).alias("q1"), F.min(F.when(F.col("c") > F.floor(3 * F.col("t") / 4), F.col("v"))).alias("q3"))
     spread = F.col("q3") - F.col("q1")
     out = df.join(F.broadcast(q), (x < F.col("q1") - k * spread) | (x > F.col("q3") + k * spread))  # one row of quartiles
@@ -142,9 +143,8 @@ def iqr_outliers(df: DataFrame, column: str, order: Sequence[str], k: float = 1.
 def goldfeld_quandt(df: DataFrame, residual: str, order: Sequence[str]) -> DataFrame:
     """One row: the ratio of the later half's mean square to the earlier's."""
     e = F.col(residual).cast("double")
-    w = Window.orderBy(*order)
-    rows = df.select(e.alias("e"), (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
-    late = F.col("i") >= F.floor(F.col("n") / 2)
+    rows = in_order(df.select(e.alias("e"), *order), order)
+    late = F.col("__i") >= df.count() // 2
     return rows.agg((F.avg(F.when(late, F.col("e") ** 2)) / F.avg(F.when(~late, F.col("e") ** 2))).alias("ratio"), F.count_if(late).alias("n_late"), F.count_if(~late).alias("n_early"))
 
 
@@ -189,7 +189,7 @@ def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: n, w_plus and the tie-corrected z of the signed ranks, with a continuity term."""
     d = df.select((clean(a) - clean(b)).alias("d")).filter(F.abs("d") > 1e-15)
     g = d.groupBy(F.abs("d").alias("x")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("p"))
-    r = g.withColumn("rank", F.sum("t").over(Window.orderBy("x")) - (F.col("t") - 1) / 2)
+    r = in_order(g, ["x"], sums={"c": F.col("t")}).withColumn("rank", F.col("c") - (F.col("t") - 1) / 2)
     s = r.agg(F.sum("t").cast("double").alias("n"), F.sum(F.col("p") * F.col("rank")).alias("w_plus"), F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
     n = F.col("n")
     z = F.try_divide(F.abs(F.col("w_plus") - n * (n + 1) / 4) - 0.5, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48))

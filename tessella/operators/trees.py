@@ -18,8 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.errors import InvalidInput
-from tessella.frame import clean
-from tessella.operators.cluster import _settled
+from tessella.frame import clean, settled
 from tessella.operators.linear import argmax, sigmoid
 
 
@@ -363,7 +362,7 @@ class GradientBoosting:
             self.start = [math.log(p / (1 - p))]
         else:
             self.start = [rows.agg(F.avg(y) if self.loss == "squared" else F.percentile(y, F.lit(0.5))).first()[0]]
-        rows = _settled(rows.select("*", *[F.lit(float(s)).alias(f"__f{i}") for i, s in enumerate(self.start)]))
+        rows = settled(rows.select("*", *[F.lit(float(s)).alias(f"__f{i}") for i, s in enumerate(self.start)]))
         self.trees, self.losses = [], []
         for r in range(self.n_rounds):
             f = [F.col(f"__f{i}") for i in range(k)]
@@ -391,7 +390,7 @@ class GradientBoosting:
             changed = {f"__f{i}": F.col(f"__f{i}") + self.rate * t.expression(lambda x: F.lit(float(x.value)), True) for i, t in enumerate(stage)}
             rows = rows.withColumns(changed)
             if (r + 1) % self.settle == 0:
-                rows = _settled(rows)
+                rows = settled(rows)
                 if self.tolerance is not None:
                     self.losses.append(self._loss(rows, k))
                     if len(self.losses) > 1 and self.losses[-2] - self.losses[-1] < self.tolerance:
@@ -454,7 +453,7 @@ class AdaBoostClassifier:
             total = 1 + err * (math.exp(alpha) - 1)
             rows = rows.withColumn("__w", w / total)
             if r % 5 == 4:
-                rows = _settled(rows)
+                rows = settled(rows)
             if err <= 1e-9:
                 break
         return self
@@ -492,7 +491,7 @@ class AdaBoostRegressor:
             self.stages.append((self.rate * math.log(1 / beta), tree))
             rows = rows.withColumn("__w", F.col("__w") * F.pow(F.lit(beta), self.rate * (1 - l)))
             if r % 5 == 4:
-                rows = _settled(rows)
+                rows = settled(rows)
         return self
 
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:

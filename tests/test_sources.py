@@ -85,3 +85,11 @@ def test_generators(spark):
     assert files.make_moons(spark, 11).count() == files.make_circles(spark, 11).count() == 11
     a, b = (files.make_blobs(spark, 20, seed=3).repartition(n).orderBy("id").collect() for n in (1, 5))
     assert a == b
+
+
+def test_order_by_ranges_equals_one_window(spark):
+    from tessella import frame
+
+    df = spark.range(500).select((F.col("id") * 7919 % 500).alias("k"), (F.col("id") % 5).alias("v")).repartition(6)
+    a, b = (frame.in_order(df, ["k"], sums={"s": F.col("v")}, limit=n).orderBy("k").collect() for n in (1000, 10))
+    assert a == b and [r["__i"] for r in a] == list(range(500))
