@@ -45,25 +45,35 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def in_order(df: DataFrame, order: Sequence[str | Column], index: str = "__i", sums: dict[str, Column] | None = None, limit: int = ONE_TASK_ROWS) -> DataFrame:
-    """The rows with their number from 0 in the given order, and running sums of expressions.
+def in_order(df: DataFrame, order: Sequence[str | Column], index: str = "__i", sums: dict[str, Column] | None = None, tops: dict[str, Column] | None = None, limit: int = ONE_TASK_ROWS) -> DataFrame:
+    """The rows with their number from 0 in the given order, and running sums and maxima of expressions.
 
     Up to ``limit`` rows this is one window. Beyond it the table is dealt by ranges of
     the order and stored; each range is numbered by itself and a table with one row a
     range, which is what is broadcast, says where it begins.
     """
-    sums = sums or {}
+    sums, tops = sums or {}, tops or {}
+    runs = [(n, F.sum, x, F.lit(0), lambda a, b: a + b) for n, x in sums.items()] + [(n, F.max, x, None, F.greatest) for n, x in tops.items()]
     if df.count() <= limit:
         w = Window.orderBy(*order)
-        return df.select("*", (F.row_number().over(w) - 1).cast("long").alias(index), *[F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(name) for name, x in sums.items()])
+        return df.select("*", (F.row_number().over(w) - 1).cast("long").alias(index), *[f(x).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(name) for name, f, x, _, _ in runs])
     parts = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))
     own, part = F.col("__m").bitwiseAND((1 << 33) - 1), F.shiftright("__m", 33)
-    totals = parts.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"), *[F.coalesce(F.sum(x), F.lit(0)).alias(f"__t_{name}") for name, x in sums.items()])
+    totals = parts.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"), *[f(x).alias(f"__t_{name}") for name, f, x, _, _ in runs])
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n"), *[F.coalesce(F.sum(f"__t_{name}").over(before), F.lit(0)).alias(f"__t_{name}") for name in sums])
+    starts = totals.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n"), *[f(f"__t_{name}").over(before).alias(f"__t_{name}") for name, f, _, _, _ in runs])
     within = Window.partitionBy("__p").orderBy("__m").rowsBetween(Window.unboundedPreceding, 0)
-    found = parts.withColumn("__p", part).select("*", *[F.sum(x).over(within).alias(name) for name, x in sums.items()]).join(F.broadcast(starts), "__p")
-    return found.select(*[F.col(c) for c in df.columns], (F.col("__n") + own).alias(index), *[(F.col(f"__t_{name}") + F.col(name)).alias(name) for name in sums])
+    found = parts.withColumn("__p", part).select("*", *[f(x).over(within).alias(name) for name, f, x, _, _ in runs]).join(F.broadcast(starts), "__p")
+    joined = [join(F.coalesce(f"__t_{name}", zero) if zero is not None else F.col(f"__t_{name}"), F.col(name)).alias(name) for name, _, _, zero, join in runs]
+    return found.select(*[F.col(c) for c in df.columns], (F.col("__n") + own).alias(index), *joined)
+
+
+def with_previous(df: DataFrame, order: Sequence[str | Column], column: str, name: str, limit: int = ONE_TASK_ROWS) -> DataFrame:
+    """The rows with a column's value in the row before: a window up to ``limit`` rows, a join by number beyond."""
+    if df.count() <= limit:
+        return df.withColumn(name, F.lag(column).over(Window.orderBy(*order)))
+    numbered = settled(in_order(df, order, limit=limit))
+    return numbered.join(numbered.select((F.col("__i") + 1).alias("__i"), F.col(column).alias(name)), "__i", "left").drop("__i")
 
 
 @dataclass(frozen=True)

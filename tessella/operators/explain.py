@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.frame import clean
+from tessella.frame import clean, in_order
 from tessella.functions.specfun import t_quantile
 from tessella.operators.trees import Node
 
@@ -24,12 +24,12 @@ def permutation_importance(predict: Predict, df: DataFrame, columns: Sequence[st
     The shuffle joins rows in id order with values in hashed order.
     """
     base = score(predict(df), target, "prediction")
-    numbered = df.withColumn("__i", F.row_number().over(Window.orderBy(row_id)))
+    numbered = in_order(df, [row_id])
     found = {}
     for c in columns:
         falls = []
         for r in range(repeats):
-            values = df.select(F.col(c).alias("__v"), F.row_number().over(Window.orderBy(F.xxhash64(row_id, F.lit(c), F.lit(seed + r)), row_id)).alias("__i"))
+            values = in_order(df.select(F.col(c).alias("__v"), row_id), [F.xxhash64(row_id, F.lit(c), F.lit(seed + r)), row_id]).select("__v", "__i")
             shuffled = numbered.join(values, "__i").withColumn(c, F.col("__v")).drop("__v", "__i")
             falls.append(base - score(predict(shuffled), target, "prediction"))
         m = sum(falls) / repeats

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.errors import InvalidInput
-from tessella.frame import in_order
+from tessella.frame import in_order, with_previous
 
 
 def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -68,14 +68,15 @@ def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
 
 def pr_auc(df: DataFrame, y: str, score: str, order: str) -> DataFrame:
     """One row: area and average precision under the envelope; a point a row, ties by ``order``."""
-    down = Window.orderBy(F.desc(score), order)
-    hit = (F.col(y) > 0.5).cast("long")
-    points = df.select(F.sum(hit).over(down).alias("tp"), F.row_number().over(down).alias("k"), F.sum(hit).over(Window.partitionBy()).alias("positives"))
-    points = points.withColumn("precision", F.max(F.col("tp") / F.col("k")).over(Window.orderBy(F.desc("k")))).withColumn("recall", F.col("tp") / F.col("positives"))
-    before = Window.orderBy("k")
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(before), F.lit(0.0))
-    mean = (F.col("precision") + F.coalesce(F.lag("precision").over(before), F.lit(1.0))) / 2
-    return points.select((step * mean).alias("a"), (step * F.col("precision")).alias("b")).agg(F.sum("a").alias("pr_auc"), F.sum("b").alias("average_precision"))
+    rows = df.select(F.col(score).alias("s"), F.col(order).alias("o"), (F.col(y) > 0.5).cast("long").alias("hit"))
+    ranked = in_order(rows, [F.desc("s"), "o"], sums={"tp": F.col("hit")}).withColumn("k", F.col("__i") + 1).drop("__i")
+    enveloped = in_order(ranked, [F.desc("k")], tops={"precision": F.col("tp") / F.col("k")})
+    total = rows.agg(F.sum("hit").alias("positives"))
+    # the point before follows from the row itself
+    before = F.when(F.col("k") > 1, F.greatest("precision", F.try_divide(F.col("tp") - F.col("hit"), F.col("k") - 1))).otherwise(1.0)
+    step = F.col("hit") / F.col("positives")
+    points = enveloped.join(F.broadcast(total), F.lit(True))  # one row
+    return points.agg(F.sum(step * (F.col("precision") + before) / 2).alias("pr_auc"), F.sum(step * F.col("precision")).alias("average_precision"))
 
 
 def probability_scores(df: DataFrame, y: str, prob: str, eps: float = 1e-15) -> DataFrame:
@@ -99,8 +100,7 @@ def regression_scores(df: DataFrame, y: str, p: str) -> DataFrame:
 def forecast_scores(df: DataFrame, y: str, p: str, order: Sequence[str]) -> DataFrame:
     """One row: sMAPE in percent and MASE against the row before."""
     t, f = F.col(y).cast("double"), F.col(p).cast("double")
-    naive = F.abs(t - F.lag(t).over(Window.orderBy(*order)))
-    rows = df.select(t.alias("t"), f.alias("f"), naive.alias("n"))
+    rows = with_previous(df.select(t.alias("t"), f.alias("f"), *[c for c in order]), order, "t", "b").withColumn("n", F.abs(F.col("t") - F.col("b")))
     smape = 100 * F.avg(F.coalesce(F.try_divide(2 * F.abs(F.col("t") - F.col("f")), F.abs("t") + F.abs("f")), F.lit(0.0)))
     return rows.agg(smape.alias("smape"), F.try_divide(F.avg(F.abs(F.col("t") - F.col("f"))), F.avg("n")).alias("mase"))
 

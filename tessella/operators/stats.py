@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.errors import InvalidInput
-from tessella.frame import clean, in_order
+from tessella.frame import clean, in_order, with_previous
 from tessella.functions import specfun as sf
 
 
@@ -125,7 +125,8 @@ def normality(df: DataFrame, column: str) -> Test:
 
 def durbin_watson(df: DataFrame, residual: str, order: Sequence[str]) -> DataFrame:
     e = F.col(residual).cast("double")
-    return df.select(e.alias("e"), (e - F.lag(e).over(Window.orderBy(*order))).alias("d")).agg((F.sum(F.col("d") ** 2) / F.sum(F.col("e") ** 2)).alias("durbin_watson"))
+    rows = with_previous(df.select(e.alias("e"), *order), order, "e", "b")
+    return rows.withColumn("d", F.col("e") - F.col("b")).agg((F.sum(F.col("d") ** 2) / F.sum(F.col("e") ** 2)).alias("durbin_watson"))
 
 
 def iqr_outliers(df: DataFrame, column: str, order: Sequence[str], k: float = 1.5) -> DataFrame:

@@ -91,5 +91,7 @@ def test_order_by_ranges_equals_one_window(spark):
     from tessella import frame
 
     df = spark.range(500).select((F.col("id") * 7919 % 500).alias("k"), (F.col("id") % 5).alias("v")).repartition(6)
-    a, b = (frame.in_order(df, ["k"], sums={"s": F.col("v")}, limit=n).orderBy("k").collect() for n in (1000, 10))
+    a, b = (frame.in_order(df, ["k"], sums={"s": F.col("v")}, tops={"t": F.col("v") - F.col("k")}, limit=n).orderBy("k").collect() for n in (1000, 10))
     assert a == b and [r["__i"] for r in a] == list(range(500))
+    a, b = (frame.with_previous(df, ["k"], "v", "b", limit=n).orderBy("k").collect() for n in (1000, 10))
+    assert a == b and a[0].b is None
