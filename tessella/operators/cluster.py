@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tessella.errors import InvalidInput
 from tessella.frame import clean, settled
 from tessella.operators.linear import argmax, product_sums
-from tessella.operators.neighbors import distance, neighbors
+from tessella.operators.neighbors import neighbors
+from tessella.operators.pairs import reduce_pairs, within
 
 
 def _squared(columns: Sequence[str], centre) -> Column:
@@ -151,9 +152,7 @@ class DBSCAN:
     metric: str = "euclidean"
 
     def links(self, df: DataFrame) -> DataFrame:
-        a = df.select(F.col(self.row_id).alias("i"), F.col(self.vector).alias("u"))
-        b = df.select(F.col(self.row_id).alias("j"), F.col(self.vector).alias("v"))
-        return a.join(b, distance(F.col("u"), F.col("v"), self.metric) <= self.eps).select("i", "j")
+        return reduce_pairs(df, df, within(self.eps, self.metric), "i long, j long", self.row_id, self.vector)
 
     def core_points(self, df: DataFrame) -> DataFrame:
         return self.links(df).groupBy("i").agg(F.count("*").alias("n")).filter(F.col("n") >= self.min_samples).select(F.col("i").alias(self.row_id), "n")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.errors import InvalidInput
 from tessella.frame import in_order, with_previous
+from tessella.operators.pairs import reduce_pairs, sums_by_label
 
 
 def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -134,12 +135,12 @@ def _array_distance(a, b):
 def silhouette_samples(df: DataFrame, row_id: str, vector: str, label: str) -> DataFrame:
     """(row_id, label, silhouette) by euclidean distance to every row; noise (-1) scores 0, a singleton has a = 0.
 
-    Needs all pairs of rows; only their means by row and label are kept.
+    Needs all pairs of rows, in blocks; only their sums by row and label are kept.
     """
-    left = df.select(F.col(row_id).alias("i"), F.col(vector).alias("u"), F.col(label).alias("k"))
-    right = df.filter(F.col(label) != -1).select(F.col(row_id).alias("j"), F.col(vector).alias("v"), F.col(label).alias("l"))
-    pairs = left.filter("k <> -1").join(right, F.lit(True)).select("i", "k", "l", "j", _array_distance("u", "v").alias("d"))
-    means = pairs.groupBy("i", "k", "l").agg(F.sum("d").alias("s"), F.count("*").alias("n"))
+    left = df.select(F.col(row_id).alias("i"), F.col(label).alias("k"))
+    rows = df.filter(F.col(label) != -1)
+    sums = reduce_pairs(rows, rows, sums_by_label(), "i long, k long, l long, s double, n long", row_id, vector, label)
+    means = sums.groupBy("i", "k", "l").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     own = F.col("k") == F.col("l")
     per = means.groupBy("i", "k").agg(F.max(F.when(own, F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)).otherwise(0.0))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b"))
     value = F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)

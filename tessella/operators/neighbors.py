@@ -1,7 +1,7 @@
 """Nearest neighbours, and the resamplers, outlier scores and classifiers built on them.
 
-Exact neighbours compare every query with every row. Queries come as their own table;
-rows' best are kept by a grouped top-k, so no row list is collected. Vectors are arrays.
+Exact neighbours compare every query with every row, in blocks (see pairs); the blocks'
+best are merged by a grouped top-k. Ids are integers, vectors arrays.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.errors import InvalidInput
+from tessella.operators.pairs import nearest, reduce_pairs
 
 
 def distance(a: Column, b: Column, metric: str = "euclidean", p: float = 2.0) -> Column:
@@ -35,12 +37,13 @@ def vector(*columns: str) -> Column:
 
 def neighbors(queries: DataFrame, rows: DataFrame, k: int, row_id: str = "id", vec: str = "vector", metric: str = "euclidean", exclude_self: bool = False, p: float = 2.0) -> DataFrame:
     """(query, neighbor, distance, rank): each query's k nearest rows, ties to the smaller id."""
-    q = queries.select(F.col(row_id).alias("query"), F.col(vec).alias("__u"))
-    r = rows.select(F.col(row_id).alias("neighbor"), F.col(vec).alias("__v"))
-    pairs = q.join(r, F.col("query") != F.col("neighbor") if exclude_self else F.lit(True))
-    pairs = pairs.select("query", "neighbor", distance(F.col("__u"), F.col("__v"), metric, p).alias("distance"))
+    if metric not in ("euclidean", "manhattan", "minkowski"):
+        raise InvalidInput(f"no metric {metric}")
+    if not isinstance(queries.schema[row_id].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        raise InvalidInput("neighbours need integer ids")
+    found = reduce_pairs(queries, rows, nearest(k, metric, exclude_self, p), "query long, neighbor long, distance double", row_id, vec)
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbor"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def _weight(weights: str) -> Column:
