@@ -72,8 +72,15 @@ class CountVectorizer:
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
+        """Counts of the vocabulary's terms."""
         return self.counts(df).join(self.vocabulary.select("term"), "term").select("doc", "term", "n")
 
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        """Counts of the fitted table; without limits its terms are the vocabulary, and nothing is joined."""
+        self.fit(df)
+        every = not self.max_features and self._limit(self.min_df, self.n_docs) <= 1 and self._limit(self.max_df, self.n_docs) >= self.n_docs
+        return self.counts(df).select("doc", "term", "n") if every else self.transform(df)
+
     def indexed_vocabulary(self) -> DataFrame:
         """Terms in alphabetical order with their column numbers."""
         return self.vocabulary.withColumn("column", F.row_number().over(Window.orderBy("term")) - 1)
@@ -122,6 +129,12 @@ class TfidfVectorizer:
     def transform(self, df: DataFrame) -> DataFrame:
         return self.weights.transform(self.counter.transform(df))
 
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        """Weights of the fitted table: document frequencies are counted from the same counts."""
+        counts = self.counter.fit_transform(df)
+        self.weights.fit(counts, self.counter.n_docs)
+        return self.weights.transform(counts)
+
 
 @dataclass(frozen=True)
 class SparseMatrix:

@@ -253,7 +253,7 @@ _TOKENS = r"""t AS (SELECT doc_id AS doc, unnest(list_filter(regexp_extract_all(
 
 @register("count_vectorizer", f"WITH {_TOKENS} SELECT doc, term, n FROM c")
 def count_vectorizer(spark, d):
-    return X.CountVectorizer().fit(df := table(spark, d, "documents")).transform(df).select("doc", "term", "n")
+    return X.CountVectorizer().fit_transform(table(spark, d, "documents"))
 
 
 @register("doc_freq_top_k", f"WITH {_TOKENS} SELECT term, count(*) AS df FROM c GROUP BY term ORDER BY df DESC, term LIMIT 50")
@@ -268,7 +268,7 @@ def doc_freq_top_k(spark, d):
 )
 def tfidf_l2(spark, d):
     df = table(spark, d, "documents")
-    return rounded(X.TfidfVectorizer(X.CountVectorizer(), X.TfidfTransformer()).fit(df).transform(df), ["value"])
+    return rounded(X.TfidfVectorizer(X.CountVectorizer(), X.TfidfTransformer()).fit_transform(df), ["value"])
 
 
 @register(
@@ -278,7 +278,7 @@ def tfidf_l2(spark, d):
 )
 def tfidf_sublinear_l1(spark, d):
     df = table(spark, d, "documents")
-    return rounded(X.TfidfVectorizer(X.CountVectorizer(), X.TfidfTransformer("l1", True, False, True)).fit(df).transform(df), ["value"])
+    return rounded(X.TfidfVectorizer(X.CountVectorizer(), X.TfidfTransformer("l1", True, False, True)).fit_transform(df), ["value"])
 
 
 @register(
