@@ -16,7 +16,9 @@ smaller doc_id. Work is split so that equal 50-byte strings always meet:
 
 Anchors only decide where windows meet, and every window with a shared anchor is
 compared byte by byte in the transforms, so hash collisions cost time, not results. A
-passage in a third of all documents is one distinct string a pack at most.
+passage in a third of all documents is one distinct string a pack inside, and at its
+edges, where strings differ from document to document, an anchor in very many packs
+deals its windows one by one, so no bucket gathers them.
 
 Null and empty texts have no bytes. Rows without doc_id are kept whole and remove
 nothing. Rows with the same doc_id don't remove from each other. An empty table gives
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +48,10 @@ _SEGMENT = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = {n: np.uint64(pow(_BASE, n, 1 << 64)) for n in (1, 2, 4, 8, 16)}
 _PLACE = np.uint64((1 << 20) - 1)
+#: An anchor in more packs than this deals its windows one by one, by their own hash.
+COMMON = 2000
 #: An anchor's number takes 55 bits of its hash; the top bit of 7 bytes says it is in two documents of a pack.
-_NUMBER, _TWICE = np.uint64(9), np.uint64(1 << 55)
+_NUMBER, _TWICE, _COMMON = np.uint64(9), np.uint64(1 << 55), np.uint64(1 << 56)
 
 
 def _minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -105,28 +110,31 @@ def _swell(raw: bytes) -> bytes:
     return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
-    digests: list[str] = []
-    ids: list[int] = []
-    texts: list[bytes] = []
-    size = 0
+def _pack(most: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        digests: list[str] = []
+        ids: list[int] = []
+        texts: list[bytes] = []
+        size = 0
 
-    def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"pack": pa.array([number], pa.int64()), "digests": pa.array([digests], pa.list_(pa.string())), "ids": pa.array([ids], pa.list_(pa.int64())), "sizes": pa.array([list(map(len, texts))], pa.list_(pa.int64())), "text": pa.array([_squeeze(b"".join(texts))], pa.binary())})
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"pack": pa.array([number], pa.int64()), "digests": pa.array([digests], pa.list_(pa.string())), "ids": pa.array([ids], pa.list_(pa.int64())), "sizes": pa.array([list(map(len, texts))], pa.list_(pa.int64())), "text": pa.array([_squeeze(b"".join(texts))], pa.binary())})
 
-    for batch in batches:
-        for digest, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            digests.append(digest)
-            ids.append(doc_id)
-            texts.append(text.as_py().encode())
-            size += len(texts[-1])
-            if size >= PACK:
-                yield row()
-                number += 1
-                digests, ids, texts, size = [], [], [], 0
-    if ids:
-        yield row()
+        for batch in batches:
+            for digest, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                digests.append(digest)
+                ids.append(doc_id)
+                texts.append(text.as_py().encode())
+                size += len(texts[-1])
+                if size >= most:
+                    yield row()
+                    number += 1
+                    digests, ids, texts, size = [], [], [], 0
+        if ids:
+            yield row()
+
+    return each
 
 
 def _texts(sizes: pa.Scalar, text: pa.Scalar) -> list[np.ndarray]:
@@ -173,31 +181,47 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, lis
         yield now, held
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, rows in _whole_buckets(batches):
-        parts = []
-        for _, blob in rows:
-            wide = np.zeros((len(blob) // 7, 8), np.uint8)
-            wide[:, :7] = np.frombuffer(blob, np.uint8).reshape(-1, 7)
-            parts.append(wide.view("<u8").ravel())
-        every = np.concatenate(parts)
-        twice = (every & _TWICE) != 0
-        every &= ~_TWICE
-        order = np.argsort(every)
-        ordered = every[order]
-        same = np.concatenate(([False], ordered[1:] == ordered[:-1]))
-        shared = np.zeros(len(every), bool)
-        shared[order] = same | np.concatenate((same[1:], [False]))
-        shared |= twice
-        # a number flagged in one pack is shared in all: it is there twice or alone
-        packs, blobs, at = [], [], 0
-        for (pack, _), part in zip(rows, parts):
-            own = every[at : at + len(part)][shared[at : at + len(part)]]
-            at += len(part)
-            if len(own):
-                packs.append(pack)
-                blobs.append(own.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(packs, pa.int64()), pa.array(blobs, pa.binary())], names=["pack", "shared"])
+def _shared(common_packs: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _whole_buckets(batches):
+            parts = []
+            for _, blob in rows:
+                wide = np.zeros((len(blob) // 7, 8), np.uint8)
+                wide[:, :7] = np.frombuffer(blob, np.uint8).reshape(-1, 7)
+                parts.append(wide.view("<u8").ravel())
+            every = np.concatenate(parts)
+            twice = (every & _TWICE) != 0
+            every &= ~_TWICE
+            order = np.argsort(every)
+            ordered = every[order]
+            same = np.concatenate(([False], ordered[1:] == ordered[:-1]))
+            shared = np.zeros(len(every), bool)
+            shared[order] = same | np.concatenate((same[1:], [False]))
+            shared |= twice
+            first = np.flatnonzero(~same)
+            packs_with = np.diff(np.concatenate((first, [len(every)])))
+            common = np.empty(len(every), bool)
+            common[order] = np.repeat(packs_with > common_packs, packs_with)
+            every |= np.where(common, _COMMON, np.uint64(0))
+            # a number flagged in one pack is shared in all: it is there twice or alone
+            packs, blobs, at = [], [], 0
+            for (pack, _), part in zip(rows, parts):
+                own = every[at : at + len(part)][shared[at : at + len(part)]]
+                at += len(part)
+                if len(own):
+                    packs.append(pack)
+                    blobs.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(packs, pa.int64()), pa.array(blobs, pa.binary())], names=["pack", "shared"])
+
+    return each
+
+
+def _one_by_one(raw: bytes, begin: np.ndarray, size: np.ndarray, key: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs with those of common anchors cut into single windows under their own hash."""
+    n = size[many]
+    singles = np.repeat(begin[many] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    own = np.array([xxhash.xxh64_intdigest(raw[a : a + LENGTH]) for a in singles.tolist()], np.uint64)
+    return np.concatenate((begin[~many], singles)), np.concatenate((size[~many], np.ones(len(singles), np.int64))), np.concatenate((key[~many], own))
 
 
 def _strings(buckets: int):
@@ -205,7 +229,9 @@ def _strings(buckets: int):
         for batch in batches:
             for pack, ids, sizes, text, blobs in zip(*(batch.column(i) for i in range(5))):
                 pack = pack.as_py()
-                shared = np.sort(np.concatenate([np.frombuffer(b, "<u8") for b in blobs.as_py()]))
+                shared = np.concatenate([np.frombuffer(b, "<u8") for b in blobs.as_py()])
+                shared = shared[np.argsort(shared & ~_COMMON)]
+                common, shared = (shared & _COMMON) != 0, shared & ~_COMMON
                 number: dict[bytes, int] = {}
                 least: list[int] = []
                 anchors: list[int] = []
@@ -218,7 +244,11 @@ def _strings(buckets: int):
                     at = np.minimum(np.searchsorted(shared, short), len(shared) - 1)
                     hit = np.flatnonzero(shared[at] == short)
                     raw = own.tobytes()
-                    for a, n, h in zip(first[hit].tolist(), count[hit].tolist(), hashes[hit].tolist()):
+                    begin, size, key = first[hit], count[hit], hashes[hit]
+                    many = common[at[hit]]
+                    if many.any():
+                        begin, size, key = _one_by_one(raw, begin, size, key, many)
+                    for a, n, h in zip(begin.tolist(), size.tolist(), key.tolist()):
                         string = raw[a : a + n + LENGTH - 1]
                         k = number.get(string)
                         if k is None:
@@ -228,8 +258,8 @@ def _strings(buckets: int):
                         elif doc_id < least[k]:
                             least[k] = doc_id
                         which.append(k)
-                    docs.append(np.full(len(hit), local, np.uint32))
-                    starts.append(first[hit])
+                    docs.append(np.full(len(begin), local, np.uint32))
+                    starts.append(begin)
                 if not number:
                     continue
                 hashes = np.array(anchors, np.uint64)
@@ -393,7 +423,7 @@ def distinct_removals(docs: DataFrame, with_text: bool = False) -> DataFrame:
     n = partitions(spark)
     rows = only(docs, "doc_id", "text").filter("doc_id IS NOT NULL").withColumn("text", F.coalesce("text", F.lit("")))
     once = rows.groupBy(digest_of("text").alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    packs, packs_path = stage(once.mapInArrow(_pack, "pack long, digests array<string>, ids array<long>, sizes array<long>, text binary"), "packs")
+    packs, packs_path = stage(once.mapInArrow(_pack(PACK), "pack long, digests array<string>, ids array<long>, sizes array<long>, text binary"), "packs")
     del once
     release_shuffles(spark)
     size = packs.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
@@ -401,7 +431,7 @@ def distinct_removals(docs: DataFrame, with_text: bool = False) -> DataFrame:
     # near 7 bytes for each of 13 bytes of text; a bucket takes some 16 MB
     buckets = max(n, -(-size * 6 // 10 // (16 << 20)))
     blobs = packs.select("pack", "sizes", "text").mapInArrow(_anchors(buckets), "bucket int, pack long, blob binary")
-    found = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "pack long, shared binary")
+    found = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(COMMON), "pack long, shared binary")
     shared, shared_path = stage(found, "shared-anchors")
     del blobs, found
     release_shuffles(spark)

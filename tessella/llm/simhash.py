@@ -231,7 +231,8 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The documents that stand first in their component, with all their columns.
 
-    Of rows that repeat a doc_id one stays.
+    Of rows that repeat a doc_id one stays; rows without doc_id can't be named and stay.
     """
     firsts = simhash_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.unionByName(docs.filter("doc_id IS NULL"))

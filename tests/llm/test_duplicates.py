@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tessella.llm import bwt, repeats, simhash
 
 
@@ -88,6 +89,8 @@ def test_near_dedup_keeps_one_of_each(documents, no_documents):
     ids = [r.doc_id for r in kept.collect()]
     components = {r.doc_id: r.component_id for r in simhash.simhash_components(documents).collect()}
     assert sorted(ids) == sorted(set(components.values()))
+    nameless = documents.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
+    assert simhash.near_dedup(nameless).count() == 3 and simhash.simhash_components(nameless.unionByName(documents)).count() == 17
     assert simhash.near_dedup(no_documents).count() == simhash.simhash_components(no_documents).count() == 0
 
 
@@ -119,10 +122,11 @@ def passages(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_repeats_match_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed, common", [(0, 2000), (1, 2000), (2, 2000), (0, 0), (1, 3)])
+def test_repeats_match_brute_force(spark, seed, common, monkeypatch):
     rows = passages(seed)
     monkeypatch.setattr(repeats, "PACK", 3000)
+    monkeypatch.setattr(repeats, "COMMON", common)
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(map(repr, map(tuple, repeats.repeated_passages(table).collect()))) == sorted(map(repr, brute_repeats(rows)))
 
