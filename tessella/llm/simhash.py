@@ -33,29 +33,44 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.common import only, partitions, release_shuffles, remove, stage
 
 SEED = 42
 #: Fingerprints whose variants a task holds at once.
 BLOCK = 512
-#: Independent fingerprints by which documents are deduplicated.
+#: Independent fingerprints of distinct words by which candidates for copies are found.
 ROUNDS = 4
+#: Copies share this part of their distinct shingles of SHINGLE words, as a fraction.
+SHINGLE, SIMILAR = 5, (4, 5)
+#: Candidates also agree in one of BANDS groups of MINIMA least hashes of shingles.
+BANDS, MINIMA = 24, 6
+#: Candidates that one task compares; larger groups go block against block.
+TOGETHER = 512
+#: Candidates are broadcast to the texts up to this number of documents.
+BROADCAST_IDS = 1_000_000
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of a text's word shingles in order, repeats included; fewer words than that are one shingle."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], np.uint64)
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The SimHash of a text's word shingles, repeats included."""
-    words = (text or "").encode().lower().split()
-    if not words:
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
         return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], np.uint64)
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         counts += np.unpackbits(hashes[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -246,44 +261,221 @@ def several_fingerprints(text: str | None, rounds: int) -> list[int]:
     return found
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct shingles by which copies are judged, in ascending order."""
+    return np.unique(shingle_hashes(text, SHINGLE))
+
+
+def _name(shingles: np.ndarray) -> int:
+    """The number of all texts with these shingles, as a signed long."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.astype("<u8").tobytes(), SEED)).astype(np.int64))
+
+
+_ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(shingles: np.ndarray) -> list[int]:
+    """A key for each band: the least hashes under MINIMA orders; none without shingles."""
+    if not len(shingles):
+        return []
+    least = np.full(len(_ORDERS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 1024):
+        np.minimum(least, (shingles[at : at + 1024, None] * _ORDERS).min(axis=0), out=least)
+    raw = least.astype("<u8").tobytes()
+    return [xxhash.xxh3_64_intdigest(raw[8 * MINIMA * b : 8 * MINIMA * (b + 1)], b) for b in range(BANDS)]
+
+
 def _several(rounds: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([several_fingerprints(x.as_py(), rounds) for x in batch.column(1)], np.uint64).reshape(-1, rounds).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(values[:, r].copy(), pa.int64()) for r in range(rounds)]], names=["doc_id", *[f"bits{r}" for r in range(rounds)]])
+            texts = batch.column(1).to_pylist()
+            values = np.array([several_fingerprints(x, rounds) for x in texts], np.uint64).reshape(-1, rounds).view(np.int64)
+            sets = [shingle_set(x) for x in texts]
+            keys = [np.array(bands(x), "<u8").tobytes() for x in sets]
+            columns = [batch.column(0), pa.array([_name(x) for x in sets], pa.int64()), *[pa.array(values[:, r].copy(), pa.int64()) for r in range(rounds)], pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", *[f"bits{r}" for r in range(rounds)], "bands"])
 
     return each
 
 
-def copy_links(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Links (x, y) between doc_ids whose fingerprints of distinct words are at 3 or fewer bits in any round."""
-    spark = docs.sparkSession
-    prints, prints_path = stage(only(docs, "doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(_several(rounds), "doc_id long, " + ", ".join(f"bits{r} long" for r in range(rounds))), "several-fingerprints")
-    every, paths = None, [prints_path]
+def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column(1)]
+        nodes = np.repeat(batch.column(0).to_numpy(), [len(x) for x in keys])
+        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), pa.array(nodes, pa.int64())], names=["key", "node"])
+
+
+def _same_band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if parts:
+        keys, nodes = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((nodes, keys))
+        keys, nodes = keys[order], nodes[order]
+        start = np.concatenate(([True], keys[1:] != keys[:-1]))
+        first = nodes[np.flatnonzero(start)[np.cumsum(start) - 1]]
+        a, b = forest(nodes[nodes != first], first[nodes != first])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["x", "y"])
+
+
+def candidates(classes: DataFrame, rounds: int) -> DataFrame:
+    """Links (x, y) between nodes that meet in a ball of any round or agree in a band."""
+    spark = classes.sparkSession
+    tasks = max(partitions(spark), spark.sparkContext.defaultParallelism)
+    rows = classes.select("node", "bands").mapInArrow(_band_rows, "key long, node long").repartition(tasks, "key")
+    every, _ = stage(rows.mapInArrow(_same_band, "x long, y long").distinct(), "band-links")
+    paths = []
     for r in range(rounds):
-        classes, classes_path = stage(prints.groupBy(F.col(f"bits{r}").alias("bits")).agg(F.min("doc_id").alias("first_id")), "classes")
-        near, near_path = stage(near_pairs(classes.select("bits"), classes.count()), "near-pairs")
-        between = near.join(classes.select(F.col("bits").alias("a"), F.col("first_id").alias("x")), "a").join(classes.select(F.col("bits").alias("b"), F.col("first_id").alias("y")), "b").select("x", "y")
-        inside = prints.join(classes, F.col(f"bits{r}") == F.col("bits")).select(F.col("doc_id").alias("x"), F.col("first_id").alias("y"))
-        links, _ = stage(between.unionByName(inside).filter("x <> y").distinct(), "copy-links")
-        every = links if every is None else every.unionByName(links)
-        paths += [classes_path, near_path]
-        del classes, near, between, inside
+        firsts, firsts_path = stage(classes.groupBy(F.col(f"bits{r}").alias("bits")).agg(F.min("node").alias("first")), "fingerprints")
+        near, near_path = stage(near_pairs(firsts.select("bits"), firsts.count()), "near-pairs")
+        between = near.join(firsts.select(F.col("bits").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("bits").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+        inside = classes.join(firsts, F.col(f"bits{r}") == F.col("bits")).select(F.col("node").alias("x"), F.col("first").alias("y"))
+        links, _ = stage(between.unionByName(inside).filter("x <> y").distinct(), "candidate-links")
+        every = every.unionByName(links)
+        paths += [firsts_path, near_path]
+        del firsts, near, between, inside
         release_shuffles(spark)
     remove(spark, *paths)
     return every.distinct()
 
 
+def alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links whose components are those of all pairs that share SIMILAR of their shingles.
+
+    Whoever is found to be a copy is compared with all that are not yet, so a family of
+    copies costs a comparison each and only strangers are compared all with all.
+    """
+    part, whole = SIMILAR
+    sizes = np.array([len(s) for s in sets], np.int64)
+    left, links = np.arange(len(sets)), []
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            own = queue.pop()
+            fits = (whole * sizes[left] >= part * sizes[own]) & (whole * sizes[own] >= part * sizes[left])
+            others = left[fits]
+            if not len(others):
+                continue
+            values = np.concatenate([sets[i] for i in others])
+            found = sets[own][np.minimum(np.searchsorted(sets[own], values), sizes[own] - 1)] == values
+            common = np.add.reduceat(found, np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+            copies = others[whole * common >= part * (sizes[own] + sizes[others] - common)]
+            links += [(own, int(i)) for i in copies]
+            queue += copies.tolist()
+            left = left[~np.isin(left, copies)]
+    return links
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(x.as_py()) for x in batch.column(2)]
+        # a doc_id may have other texts too; without shingles there is one node
+        own = [len(s) > 0 and _name(s) == n for s, n in zip(sets, batch.column(1).to_pylist())]
+        blobs = pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), blobs], names=["root", "node", "shingles"]).filter(pa.array(own, pa.bool_()))
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now: tuple | None = None
+    nodes: list[int] = []
+    sets: list[np.ndarray] = []
+
+    def links() -> pa.RecordBatch:
+        found = alike(sets)
+        return pa.RecordBatch.from_arrays([pa.array([nodes[p[i]] for p in found], pa.int64()) for i in (0, 1)], names=["x", "y"])
+
+    for batch in batches:
+        for root, part, node, blob in zip(*(batch.column(i) for i in range(4))):
+            key = (root.as_py(), part.as_py())
+            if key != now:
+                if nodes:
+                    yield links()
+                now, nodes, sets = key, [], []
+            nodes.append(node.as_py())
+            sets.append(np.frombuffer(blob.as_buffer(), "<u8").copy())
+    if nodes:
+        yield links()
+
+
+def _compare(rows: DataFrame, size: int) -> DataFrame:
+    """Verified links within each (root, part) of rows (root, part, node, shingles)."""
+    spark = rows.sparkSession
+    tasks = max(partitions(spark), spark.sparkContext.defaultParallelism, -(-size // 20_000))
+    dealt = rows.select("root", "part", "node", "shingles").repartition(tasks, "root", "part").sortWithinPartitions("root", "part")
+    return dealt.mapInArrow(_verify, "x long, y long")
+
+
+def verified(members: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """Links (x, y) between members (root, node, shingles) of a group that are copies.
+
+    Their components are those of all pairs of a group that share SIMILAR of their
+    shingles. A larger group is dealt in blocks: each is compared with the group's
+    root, then those that aren't its copies are compared with every block.
+    """
+    size = members.count()
+    sizes = members.groupBy("root").count()
+    blocks = F.ceil(F.col("count") / together).cast("int")
+    large, _ = stage(sizes.filter(F.col("count") > together).select("root", blocks.alias("blocks")), "large-groups")
+    small = members.join(large, "root", "left_anti").withColumn("part", F.lit(0))
+    links, _ = stage(_compare(small, size), "copy-links")
+    if not large.limit(1).count():
+        return links
+    dealt = members.join(large, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    heads = dealt.filter("node = root").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = dealt.unionByName(heads).withColumn("part", F.col("block"))
+    first, _ = stage(_compare(own, size), "block-links")
+    # whose component in a block holds the root needs no more comparison with its like
+    linked = components(first, "x", "y").select("node", F.col("root").alias("least"))
+    of_root = linked.join(large.select(F.col("root").alias("node")), "node").select("least").distinct()
+    loose, _ = stage(dealt.join(linked.join(of_root, "least").select("node"), "node", "left_anti").filter("node <> root"), "loose")
+    n_loose = loose.groupBy("root").count().select("root", F.ceil(F.col("count") / together).cast("int").alias("lots"))
+    lot = F.pmod(F.xxhash64(F.col("node"), F.lit(1)), F.col("lots")).cast("int")
+    ours = loose.join(n_loose, "root").withColumn("lot", lot).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    theirs = dealt.join(n_loose, "root").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    across = ours.select("root", "node", "shingles", "lot", "block", "blocks").unionByName(theirs.select("root", "node", "shingles", "lot", "block", "blocks"))
+    second, _ = stage(_compare(across.withColumn("part", F.col("lot") * F.col("blocks") + F.col("block")), size), "loose-links")
+    return links.unionByName(first).unionByName(second).filter("x <> y").distinct()
+
+
+def _named(at: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = pa.array([_name(shingle_set(x.as_py())) for x in batch.column(at)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, names], names=[*batch.schema.names, "node"])
+
+    return each
+
+
 def near_dedup(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """The documents that stand first among their copies, with all their columns.
 
-    One fingerprint of word shingles at 3 bits finds only the closest copies, as a changed
-    word changes every shingle that holds it. Here texts link by the distinct words they
-    hold, in any of several independent fingerprints, each by ball hashing; on prose that
-    finds most copies that share four fifths of their shingles of five words.
+    Copies share four fifths or more of their distinct shingles of five words. Candidates
+    are found by ball hashing of several fingerprints of distinct words and by bands of
+    least shingle hashes; groups of candidates are then compared by their texts, and only
+    links between copies count. Texts with the same shingles are one node throughout.
 
-    Of rows that repeat a doc_id one stays; rows without doc_id can't be named and stay.
+    Of rows that repeat a doc_id with the same shingles one stays; rows without doc_id
+    can't be named and stay.
     """
-    later = components(copy_links(docs, rounds), "x", "y").filter("node <> root").select(F.col("node").alias("doc_id"))
-    kept = docs.filter("doc_id IS NOT NULL").join(later, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    named = docs.filter("doc_id IS NOT NULL")
+    kinds = "doc_id long, node long, " + ", ".join(f"bits{r} long" for r in range(rounds)) + ", bands binary"
+    prints, prints_path = stage(only(named, "doc_id", "text").mapInArrow(_several(rounds), kinds), "several-fingerprints")
+    firsts = [F.first(c).alias(c) for c in prints.columns if c not in ("doc_id", "node")]
+    classes, _ = stage(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *firsts), "classes")
+    groups, _ = stage(components(candidates(classes, rounds), "x", "y"), "candidate-groups")
+    asked = groups.join(classes.select("node", "doc_id"), "node")
+    asked = F.broadcast(asked) if groups.count() <= BROADCAST_IDS else asked
+    texts = only(named, "doc_id", "text").join(asked, "doc_id").select("root", "node", "text")
+    members, members_path = stage(texts.mapInArrow(_members, "root long, node long, shingles binary"), "candidate-texts")
+    copies = components(verified(members), "x", "y")
+    remove(docs.sparkSession, prints_path, members_path)
+    group = F.coalesce("root", classes.node)
+    first = classes.join(copies, classes.node == copies.node, "left").groupBy(group.alias("group")).agg(F.min(F.struct(classes.doc_id, classes.node)).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("first_id"), F.col("first.node").alias("first_node"))
+    # columns by place, as the documents may have any names
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    plain = named.toDF(*places)
+    made = plain.mapInArrow(_named(docs.columns.index("text")), T.StructType([*plain.schema.fields, T.StructField("node", T.LongType())]))
+    doc_id = places[docs.columns.index("doc_id")]
+    stay = made.join(kept, (F.col(doc_id) == F.col("first_id")) & (F.col("node") == F.col("first_node")), "left_semi").dropDuplicates([doc_id, "node"])
+    return stay.select(*places).toDF(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))

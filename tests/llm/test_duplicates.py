@@ -188,3 +188,64 @@ def test_near_copies_go_and_clean_texts_stay(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     kept = simhash.near_dedup(table).count()
     assert 60 <= kept <= 60 + 0.15 * copies
+
+
+def brute_copies(texts):
+    """The least number of each text's component of pairs with a Jaccard similarity of 0.8 or more."""
+    sets = []
+    for text in texts:
+        w = text.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(i) for i in range(len(texts))]
+
+
+def copy_families(seed):
+    rng = random.Random(seed)
+    words = [f"{a}{b}{c}{d}" for a in "bcdfgt" for b in "aeiou" for c in "lmnrst" for d in "aeo"]
+    texts = []
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(rng.randint(30, 250))]
+        texts.append(base)
+        for _ in range(4):
+            own = list(base)
+            for _ in range(rng.randint(0, len(base) // 20)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            texts += [own, own[: int(len(own) * rng.uniform(0.7, 1))]]
+    # the same few words in another order are no copies
+    few = [f"n{i}" for i in range(12)]
+    texts += [[rng.choice(few) for _ in range(200)] for _ in range(30)]
+    return [" ".join(t) for t in texts]
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_only_copies_by_shingles_go(spark, seed):
+    texts = copy_families(seed)
+    want = {i for i, r in enumerate(brute_copies(texts)) if r == i}
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.near_dedup(table).collect()} == want
+
+
+def test_large_groups_are_compared_in_blocks(spark):
+    texts = copy_families(2)
+    sets = [simhash.shingle_set(t) for t in texts]
+    nodes = {simhash._name(s): s for s in sets}
+    root = min(nodes)
+    rows = [(root, n, bytearray(s.astype("<u8").tobytes())) for n, s in nodes.items()]
+    members = spark.createDataFrame(rows, "root long, node long, shingles binary").cache()
+    groups = []
+    for together in (1000, 16):
+        found = simhash.components(simhash.verified(members, together), "x", "y").collect()
+        groups.append(sorted((r.node, r.root) for r in found))
+    assert groups[0] == groups[1] and groups[0]
