@@ -7,6 +7,9 @@ times a fixed odd multiplier, plus the next word's mixed number. An n-gram is
 duplicated when its hash occurs twice or more in the document. Its characters are
 then marked at all of its occurrences, the first included, so overlaps count once.
 
+:func:`keep_documents` also drops texts that repeat up to five words over and over,
+which the figures of :data:`RULES_SQL` can't show: those begin at six words.
+
 Null and empty texts have no words, fail the base rule and are not kept.
 Repeated rows are judged alike, each by itself: nothing is shuffled.
 """
@@ -25,6 +28,9 @@ from tessella.llm.common import only
 NGRAM_LIMITS = {6: 0.60, 8: 0.50, 10: 0.45, 13: 0.40}
 #: Share of word characters that may lie in lines equal to an earlier line.
 LINE_LIMIT = 0.45
+#: Shares for keep_documents: in n-grams repeated right after themselves, for any n to BACK_TO_BACK, and in duplicated short ones.
+BACK_TO_BACK, BACK_TO_BACK_LIMIT = 5, 0.20
+SHORT_LIMITS = {4: 0.30, 5: 0.30}
 MIN_WORDS, BASE_NGRAM, BASE_PERCENT = 20, 8, 30
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\f\r"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -104,6 +110,38 @@ def measure(text: str | None) -> tuple:
     return (n_words, word_chars, n_symbols, n_dup_lines, n_repeat, base_failed, kept, dup_line_chars, *dup_chars.values())
 
 
+def back_to_back(ids: np.ndarray, n: int) -> np.ndarray:
+    """Which words lie in an n-gram that equals the n words before it."""
+    if len(ids) < 2 * n:
+        return np.zeros(len(ids), bool)
+    equal = np.concatenate(([0], np.cumsum(ids[n:] == ids[:-n])))
+    starts = np.flatnonzero(equal[n:] - equal[:-n] == n) + n
+    return covered(starts, n, len(ids))
+
+
+def short_repeats(text: str | None) -> bool:
+    """Whether too much of the text's word characters lies in repeats of few words."""
+    words = (text or "").encode().split()
+    if not words:
+        return False
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint64, len(words))
+    lengths = np.fromiter((len(w.decode()) for w in number), np.int64, len(number))[ids.astype(np.int64)]
+    total = int(lengths.sum())
+    again = np.zeros(len(words), bool)
+    for n in range(1, BACK_TO_BACK + 1):
+        again |= back_to_back(ids, n)
+    if lengths[again].sum() > BACK_TO_BACK_LIMIT * total:
+        return True
+    values = _mix(ids + np.uint64(1))
+    rolled = values.copy()
+    for n in range(2, min(max(SHORT_LIMITS), len(words)) + 1):
+        rolled = rolled[:-1] * _MULTIPLIER + values[n - 1 :]
+        if n in SHORT_LIMITS and lengths[covered(repeated_starts(rolled), n, len(words))].sum() > SHORT_LIMITS[n] * total:
+            return True
+    return False
+
+
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [measure(x.as_py()) for x in batch.column(1)]
@@ -120,13 +158,14 @@ def repetition_rules(docs: DataFrame) -> DataFrame:
 def _keep(at: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([measure(x.as_py())[6] for x in batch.column(at)], pa.bool_()))
+            texts = batch.column(at).to_pylist()
+            yield batch.filter(pa.array([measure(x)[6] and not short_repeats(x) for x in texts], pa.bool_()))
 
     return each
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
+    """The documents that the rules keep and that don't repeat few words, with all their columns."""
     return docs.mapInArrow(_keep(docs.columns.index("text")), docs.schema)
 
 

@@ -66,6 +66,25 @@ def test_keep_documents(documents, no_documents):
     assert repetition.keep_documents(no_documents).count() == repetition.repetition_rules(no_documents).count() == 0
 
 
+def test_short_repeats_go(spark):
+    rng = np.random.default_rng(3)
+    names = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
+    rows = []
+    for size in range(1, 6):
+        for times in range(2, 8):
+            phrases = rng.permutation(names)[: 8 * size].reshape(8, size)
+            phrases = np.concatenate([phrases] * (1 + 20 // (8 * size * times)))
+            rows.append((len(rows), " ".join(" ".join([" ".join(p)] * times) for p in phrases)))
+    n_bad = len(rows)
+    zipf = 1 / np.arange(1, len(names) + 1)
+    for size in (30, 200, 1000):
+        rows.append((len(rows), " ".join(rng.choice(names, size, p=zipf / zipf.sum()))))
+    rows.append((len(rows), "It is very very good that we had had a walk before the rain, though nobody said so so far today."))
+    assert all(repetition.short_repeats(t) for _, t in rows[:n_bad])
+    kept = repetition.keep_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows[n_bad:]}
+
+
 def labelled(spark, n=400):
     rng = np.random.default_rng(5)
     plain, bad = [f"w{chr(97 + i)}{chr(97 + j)}{chr(97 + i)}" for i in range(12) for j in range(12)], ["idiot", "scum", "moron", "vermin"]
