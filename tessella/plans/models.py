@@ -471,7 +471,7 @@ def permutation_importance(spark, d):
 
 @register("h_statistic")
 def h_statistic(spark, d):
-    df = _line(spark, d).filter("l_orderkey % 10 = 0")
+    df = _line(spark, d)
     predict = lambda x: x.withColumn("prediction", F.col("l_quantity") * F.col("l_tax") + F.col("l_discount"))
     return rounded(spark.createDataFrame([("tax", X.h_statistic(predict, df, "l_quantity", "l_tax", 5)), ("discount", X.h_statistic(predict, df, "l_quantity", "l_discount", 5))], "other string, h double"), ["h"], 4)
 
@@ -498,7 +498,7 @@ def grid_search(spark, d):
 @register("automl")
 def automl(spark, d):
     portfolio = {"ridge": (L.Ridge, {"alpha": H.Param(0.01, 100.0, log=True)}), "tree": (lambda max_depth: R.DecisionTree("regression", max_depth=max_depth), {"max_depth": H.Param(1, 3, "int")})}
-    m = H.AutoML(portfolio, max_trials=4, folds=2).fit(_line(spark, d).filter("l_orderkey % 5 = 0"), ["l_quantity", "l_tax"], "l_extendedprice", ["id"])
+    m = H.AutoML(portfolio, max_trials=4, folds=2).fit(_line(spark, d), ["l_quantity", "l_tax"], "l_extendedprice", ["id"])
     return rounded(spark.createDataFrame([(r["rank"], r["model"], r["mean"]) for r in m.leaderboard()], "rank int, model string, mean double"), ["mean"], 4)
 
 

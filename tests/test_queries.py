@@ -43,6 +43,23 @@ def test_runs(spark, name):
     assert df.columns and df.count() > 0
 
 
+@pytest.mark.parametrize("name", ["h_statistic", "automl"])
+def test_takes_the_whole_table(spark, name, monkeypatch):
+    from tessella.plans import models
+
+    rows = []
+
+    def seen(df):
+        rows.append(df.count())
+        raise InterruptedError
+
+    monkeypatch.setattr(models.X, "h_statistic", lambda predict, df, *a: seen(df))
+    monkeypatch.setattr(models.H.AutoML, "fit", lambda self, df, *a: seen(df))
+    with pytest.raises(InterruptedError):
+        catalogue.queries()[name](spark, DATA)
+    assert rows == [spark.read.parquet(f"{DATA}/lineitem.parquet").count()]
+
+
 def test_entry(spark):
     import __spark_entry__
 
