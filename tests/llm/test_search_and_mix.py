@@ -3,6 +3,7 @@
 import math
 import random
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -11,36 +12,98 @@ from tessella.llm import mixing, style_tree, topk
 
 
 def brute_top(rows, k=20):
-    ok = [(i, np.floor(64 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) and abs(x) < 16384 for x in v)]
+    """Scores in Python's integers, whatever the size of a component."""
+    ok = [(i, [math.floor(64 * Fraction(x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for i, q in ok:
         if i % 20 == 0:
-            found = sorted((-int(q @ v), j) for j, v in ok if j != i and len(v) == len(q))[:k]
-            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(found)]
+            found = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in ok if j != i and len(v) == len(q))[:k]
+            out += [(i, r + 1, j, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for r, (s, j) in enumerate(found)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [40, 8192])
-def test_top_k_matches_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "asked"), [(640, 160), (1 << 18, 1 << 14)])
+def test_top_k_matches_brute_force(spark, monkeypatch, block, asked):
     monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "QUERIES", asked)
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(0, 1, 16).astype(np.float32).tolist()) for i in range(700)]
     rows += [(1000, None), (1001, [1.0, None] + [0.0] * 14), (1002, [math.nan] * 16), (1003, [math.inf] * 16), (1020, []), (None, [0.5] * 16), (1040, [1.0, 2.0]), (1041, [2.0, 2.0]), (1060, [0.0] * 16), (1061, rows[5][1]), (1062, rows[5][1])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash")).withColumn("rank", F.lit(0))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash")).withColumns({"rank": F.lit(0), "task": F.lit(0), "a.b": F.lit(0)})
     assert sorted(map(tuple, topk.exact_top_k(table).collect())) == brute_top(rows)
     assert topk.exact_top_k(table.limit(0)).count() == 0
 
 
-def test_reading_stops_early_and_loses_nothing():
+@pytest.mark.parametrize("block", [24, 1 << 18])
+def test_large_components_count(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    rows = [(20, [1.0, 1.0]), (1, [20000.0, 1.0]), (2, [1.0, 2.0]), (3, [-1e9, 3.0]), (40, [2.0**50, 0.5]), (4, [3e12, -2e12]), (5, [0.25, 1e5]), (60, [-7e7, 2e8])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.exact_top_k(table).collect()))
+    assert got == brute_top(rows)
+    assert [r[2] for r in got if r[0] == 20][:2] == [40, 4]
+
+
+def test_huge_components_give_the_nearest_long(spark):
+    rows = [(20, [1e300, 1.0]), (1, [1e10, 0.0]), (2, [-1e300, 5.0]), (3, [0.0, 3.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.exact_top_k(table).collect()))
+    assert got == [(20, 1, 1, (1 << 63) - 1), (20, 2, 3, 64 * 192), (20, 3, 2, -(1 << 63))]
+
+
+def test_few_vectors(spark):
+    for n in (1, 2, 30, 79):
+        rows = [(i, [float(i % 7), float(i % 3)]) for i in range(n)]
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        assert sorted(map(tuple, topk.exact_top_k(table).collect())) == brute_top(rows)
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 24, 1 << 40])
+def test_bounds_hold_at_every_step(scale):
+    """Against bounds worked out entry by entry; reading stops early and loses nothing."""
+    rng = np.random.default_rng(3)
+    values = rng.integers(-30, 30, (400, 6)).astype(object if scale > 1 << 30 else np.int64) * scale
+    lists = topk.Lists.of(np.arange(400), values)
+    kind = {1: np.float64, 1 << 24: np.int64}.get(scale, object)
+    query = values[7]
+    pull = np.concatenate((np.maximum(query, 0), np.minimum(query, 0))).astype(kind)
+    upper = np.full(400, np.concatenate((lists.values[:, -1], lists.values[:, 0])) @ pull)
+    lower = np.full(400, np.concatenate((lists.values[:, 0], lists.values[:, -1])) @ pull)
+    for step, depth in enumerate(topk.DEPTHS):
+        gain, sure = lists.read(kind, step)
+        upper, lower = upper + gain @ pull, lower + sure @ pull
+        n = math.ceil(400 * depth)
+        for i in range(0, 400, 37):
+            high = low = 0
+            for d, c in enumerate(query.tolist()):
+                order = lists.order[d][::-1] if c > 0 else lists.order[d]
+                read = set(order[:n].tolist())
+                high += c * int(values[i, d] if i in read else values[order[n - 1], d])
+                low += c * int(values[i, d] if i in read else values[order[-1], d])
+            assert (int(upper[i]), int(lower[i])) == (high, low)
+    assert (upper == lower).all() and [int(x) for x in upper] == [int(x) for x in values @ query]
+    small = lists.part(100, 300)
+    assert (np.sort(small.order, axis=1) == np.arange(200)).all() and (small.values == np.sort(values[100:300], axis=0).T).all()
+
+
+def test_reading_stops_early():
     rng = np.random.default_rng(3)
     values = rng.integers(-30, 30, (3000, 24))
-    lists = topk.Lists(np.arange(3000), values)
-    for i in range(0, 200, 20):
-        scores = values @ values[i]
-        bar = int(np.sort(scores)[-40])
-        left = lists._read(values[i].astype(np.int64), 20, bar)
-        assert set(np.flatnonzero(scores >= bar)) <= set(left.tolist())
-        assert len(left) < 3000
+    lists = topk.Lists.of(np.arange(3000), values)
+    seen = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, key):
+            found = super().__getitem__(key)
+            seen.append(len(found))
+            return found
+    for step in range(len(topk.DEPTHS)):
+        gain, sure = lists.read(np.float64, step)
+        lists.steps[np.float64, step] = gain.view(Counted), sure
+    queries = values[:200:20]
+    first = [(np.arange(3000)[np.lexsort((np.arange(3000), -(values @ q)))][:20] + 10_000, np.sort(values @ q)[::-1][:20]) for q in queries]
+    lists.search(queries, np.arange(0, 200, 20), 20, first)
+    assert seen and max(seen) < 3000 / 4
 
 
 def brute_mix(rows):
