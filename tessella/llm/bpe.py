@@ -20,6 +20,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -79,6 +80,8 @@ class BytePairs:
         self.merged = [vocabulary[a + b] for a, b in pairs]
         byte = {c: b for b, c in stands.items()}
         self.strings = {i: bytes(byte[c] for c in token) for token, i in vocabulary.items()}
+        if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in spec.get("added_tokens", [])):
+            raise ValueError(f"{path} has added tokens that take in white space or stand between words only")
         added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.strings |= {i: content.encode() for content, i in added.items()}
         self.added = added
@@ -170,17 +173,23 @@ def byte_pairs(path: str) -> BytePairs:
     return BytePairs(path)
 
 
-def _round_trip(path: str):
+def _round_trip(path: str, with_ids: bool):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = byte_pairs(path)
         for batch in batches:
-            counts, ids_digests, text_digests = [], [], []
+            counts, ids_digests, text_digests, ids = [], [], [], []
             for value in batch.column(1):
                 written = pairs.decimals(value.as_py() or "")
                 counts.append(written.count(",") + 1 if written else 0)
                 ids_digests.append(hashlib.sha256(written.encode()).hexdigest())
                 text_digests.append(hashlib.sha256(pairs.decode_decimals(written).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                if with_ids:
+                    ids.append(np.fromstring(written, np.int32, sep=",") if written else np.zeros(0, np.int32))
+            columns = {"doc_id": batch.column(0), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_digests, pa.string()), "decoded_sha256": pa.array(text_digests, pa.string())}
+            if with_ids:
+                offsets = np.concatenate(([0], np.cumsum(counts)))
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
+            yield pa.RecordBatch.from_pydict(columns)
 
     return each
 
@@ -215,6 +224,7 @@ def bpe_decode(tokens: DataFrame, path: str) -> DataFrame:
     return only(tokens, "doc_id", "ids").mapInArrow(_decode(path), "doc_id long, text string")
 
 
-def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Encode and decode every whole text: counts and digests of ids and of the decoded text."""
-    return only(docs, "doc_id", "text").mapInArrow(_round_trip(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def bpe_round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """Encode and decode every whole text: counts and digests of ids and of the decoded text, and the ids if asked for."""
+    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return only(docs, "doc_id", "text").mapInArrow(_round_trip(path, with_ids), kinds + (", ids array<int>" if with_ids else ""))

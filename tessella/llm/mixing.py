@@ -15,9 +15,10 @@ No window holds a source or the whole order. Cumulative words are sums over dige
 buckets and then over the rows of one bucket; the place where the budget ends is found
 in two histograms of finish time, and only the rows of its bin are put in order.
 
-Null and blank texts have size 0 and are never taken. Null doc_ids are shuffled like
-the word "null". Repeated rows are separate documents, each with its own passes; they
-are ordered next to each other. An empty table gives no rows.
+Null and blank texts have size 0, stay out of all orders and are never taken. Rows
+without doc_id are shuffled by a digest of their text. Repeated rows are separate
+documents, each with its own passes; they are ordered next to each other. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import remove, stage
+from tessella.llm.common import only, stage
 
 WEIGHTS = (3, 1, 2)
 #: The budget, as hundredths of all words, and how often a document may be taken.
@@ -43,7 +44,12 @@ def word_count(text: str) -> Column:
 
 
 def shuffle_key(seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    nameless = F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), nameless)).cast("binary"))
+
+
+def _sized(docs: DataFrame, row: Column, seed: int) -> DataFrame:
+    return docs.select(row.alias("row"), "doc_id", "source", word_count("text").alias("size"), shuffle_key(seed).alias("key"))
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
@@ -66,8 +72,8 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return ranked.select("source", "rank", "source_size", target.alias("target"), "total")
 
 
-def mixing_plan(sized: DataFrame, seed: int = 17) -> DataFrame:
-    """``sized`` (row, doc_id, source, size) with source_size, target and copies.
+def mixing_plan(sized: DataFrame) -> DataFrame:
+    """``sized`` (row, doc_id, source, size, key) with source_size, target and copies.
 
     ``row`` must be a stored unique number of the row.
     """
@@ -77,7 +83,9 @@ def mixing_plan(sized: DataFrame, seed: int = 17) -> DataFrame:
     total = sources.agg(F.max("total")).first()[0] or 0
     near = F.broadcast(sources) if n_sources <= BROADCAST_SOURCES else sources
     keyed = sized.join(near.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "total")
-    keyed = keyed.withColumn("key", shuffle_key(seed)).withColumn("bucket", F.substring("key", 1, 3))
+    keyed = keyed.withColumn("bucket", F.substring("key", 1, 3))
+    blank = keyed.filter("size = 0")
+    keyed = keyed.filter("size > 0")
     sums = keyed.groupBy("rank", "bucket").agg(F.sum("size").alias("words"))
     offsets = sums.select("rank", "bucket", (F.sum("words").over(Window.partitionBy("rank").orderBy("bucket")) - F.col("words")).alias("offset"))
     within = Window.partitionBy("rank", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -85,7 +93,7 @@ def mixing_plan(sized: DataFrame, seed: int = 17) -> DataFrame:
     reached = F.col("offset") + F.col("own")
     times = F.array(*[F.try_divide((F.lit(p) * F.col("source_size") + reached).cast("double"), F.col("target")) for p in range(PASSES)])
     timed, timed_path = stage(running.select("row", "doc_id", "source", "size", "source_size", "target", "rank", "key", times.alias("times")), "finish-times")
-    passes = timed.filter("size > 0").select("row", "rank", "key", "size", F.posexplode("times").alias("pass", "time"))
+    passes = timed.select("row", "rank", "key", "size", F.posexplode("times").alias("pass", "time"))
     passes = passes.withColumn("bin", F.floor(F.least("time", F.lit(float(_LAST))) * _BINS)).withColumn("fine", F.floor(F.least("time", F.lit(float(_LAST))) * _BINS * _FINE))
     most = total * BUDGET_PERCENT / 100
     base = 0
@@ -102,22 +110,21 @@ def mixing_plan(sized: DataFrame, seed: int = 17) -> DataFrame:
         base += edge["upto"] - edge["words"]
         rest = rest.filter(F.col(level) == edge[level])
     if len(place) == 1:  # the budget is never reached
-        copies = timed.withColumn("copies", F.when(F.col("size") > 0, PASSES).otherwise(0))
+        copies = timed.withColumn("copies", F.lit(PASSES))
     else:
         order = Window.orderBy("time", "rank", "pass", "key", "size").rowsBetween(Window.unboundedPreceding, 0)
         last = rest.withColumn("upto", F.lit(base) + F.sum("size").over(order)).filter(F.col("upto") <= most).groupBy("row").agg(F.count("*").alias("edge"))
         fine = [F.floor(F.least(F.col("times")[p], F.lit(float(_LAST))) * _BINS * _FINE) for p in range(PASSES)]
         sure = sum((F.when(f < place[1], 1).otherwise(0) for f in fine), F.lit(0))
-        copies = timed.join(last, "row", "left").withColumn("copies", F.when(F.col("size") > 0, sure + F.coalesce("edge", F.lit(0))).otherwise(0))
-    found = copies.select("row", "doc_id", "source", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"))
-    remove(spark, sources_path)
-    return found
+        copies = timed.join(last, "row", "left").withColumn("copies", sure + F.coalesce("edge", F.lit(0)))
+    every = copies.select("row", "doc_id", "source", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"))
+    return every.unionByName(blank.select("row", "doc_id", "source", "size", "source_size", "target", F.lit(0).alias("copies")))
 
 
 def mix_sources(docs: DataFrame, seed: int = 17) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken) of all documents."""
-    sized, _ = stage(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", word_count("text").alias("size")), "sizes")
-    return mixing_plan(sized, seed).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    sized, _ = stage(_sized(only(docs, "doc_id", "source", "text"), F.monotonically_increasing_id(), seed), "sizes")
+    return mixing_plan(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
@@ -127,15 +134,16 @@ def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     while row in names:
         row += "_"
     kept, _ = stage(docs.withColumn(row, F.monotonically_increasing_id()), "mixed")
-    sized, _ = stage(kept.select(F.col(row).alias("row"), "doc_id", "source", word_count("text").alias("size")), "sizes")
-    taken = mixing_plan(sized, seed).filter("copies > 0").select(F.col("row").alias(row), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__pass"))
-    return kept.join(taken, row).select(names)
+    sized, _ = stage(_sized(kept, F.col(row), seed), "sizes")
+    passes = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    taken = mixing_plan(sized).filter("copies > 0").select(F.col("row").alias(row), passes.alias("pass")).select(row)
+    return kept.join(taken, row).select([F.col(f"`{c}`") for c in names])
 
 
 MIX_SQL = rf"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORDS}')), 0)::BIGINT AS size,
-         md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS k
+         md5('17:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS k
   FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source

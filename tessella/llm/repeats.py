@@ -406,9 +406,10 @@ def _remove(with_text: bool):
                         removed.append(n - len(kept))
                         spans.append(int(own[0]) + int(np.count_nonzero(own[1:] & ~own[:-1])))
                         shas.append(hashlib.sha256(kept).hexdigest())
-                    texts.append(kept if with_text else None)
+                    # a cut within a character leaves bytes that are no character's
+                    texts.append(kept.decode("utf-8", "ignore") if with_text else None)
                     at += n
-                yield pa.RecordBatch.from_arrays([digests.values, ids.values, pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.binary())], names=["digest", "first_id", "n_removed", "n_spans", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([digests.values, ids.values, pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())], names=["digest", "first_id", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return each
 
@@ -418,7 +419,7 @@ def digest_of(text: str) -> Column:
 
 
 def distinct_removals(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """One row per distinct text: digest, first_id, n_removed, n_spans, kept_sha256 and kept (bytes, or null)."""
+    """One row per distinct text: digest, first_id, n_removed, n_spans, kept_sha256 and kept (what is left, or null)."""
     spark = docs.sparkSession
     n = partitions(spark)
     rows = only(docs, "doc_id", "text").filter("doc_id IS NOT NULL").withColumn("text", F.coalesce("text", F.lit("")))
@@ -454,7 +455,7 @@ def distinct_removals(docs: DataFrame, with_text: bool = False) -> DataFrame:
     verdicts = judged.groupBy("pack").agg(F.collect_list(F.struct("bucket", "verdicts")).alias("verdicts"))
     where = strings.filter("bucket = -1").select("pack", F.col("blob").alias("occurrences"))
     joined = packs.join(where, "pack", "left").join(verdicts, "pack", "left").select("digests", "ids", "sizes", "text", "occurrences", "verdicts")
-    result, _ = stage(joined.mapInArrow(_remove(with_text), "digest string, first_id long, n_removed long, n_spans long, kept_sha256 string, kept binary"), "removals")
+    result, _ = stage(joined.mapInArrow(_remove(with_text), "digest string, first_id long, n_removed long, n_spans long, kept_sha256 string, kept string"), "removals")
     remove(spark, packs_path, strings_path, judged_path)
     del joined, verdicts, where, packs, strings, judged
     release_shuffles(spark)
@@ -487,15 +488,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A cut within a character leaves bytes that aren't UTF-8; those are dropped.
     """
     names = docs.columns
-    found = distinct_removals(docs, with_text=True).select("digest", "first_id", F.try_validate_utf8(F.col("kept").cast("string")).alias("clean"), "kept", "n_removed", "n_spans", "kept_sha256")
-    wide = docs.select(F.struct(*names).alias("row"), "doc_id", digest_of("text").alias("digest"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    found = distinct_removals(docs, with_text=True).select("digest", "first_id", F.col("kept").alias("clean"), "n_removed", "n_spans", "kept_sha256")
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    wide = docs.select(row, F.col("`doc_id`").alias("doc_id"), digest_of("text").alias("digest"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     joined = _settle(wide.join(found, "digest", "left"))
-    text = F.when(F.col("copy_"), F.lit("")).when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.coalesce("clean", _utf8("kept")))
+    text = F.when(F.col("copy_"), F.lit("")).when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.col("clean"))
     joined = joined.withColumn("clean", text)
     changed = {"text": F.col("clean"), "n_chars": F.char_length("clean").cast("long")}
     return joined.select(*[F.when(F.col("n_removed") > 0, changed[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in names])
-
-
-def _utf8(kept: str) -> Column:
-    """The characters of the bytes; bytes that aren't UTF-8 are dropped."""
-    return F.regexp_replace(F.make_valid_utf8(F.col(kept).cast("string")), "�", "")

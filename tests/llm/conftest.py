@@ -38,7 +38,7 @@ def clashing(documents):
     """The same with columns named like those that operators make."""
     from pyspark.sql import functions as F
 
-    names = ["size", "digest", "n_bytes", "n_tokens", "row", "bits", "component_id", "rank", "key", "bucket", "start", "score", "target", "pack", "first_id", "kept", "host", "removed", "n_removed", "clean", "n_spans"]
+    names = ["size", "digest", "n_bytes", "n_tokens", "row", "bits", "component_id", "rank", "key", "bucket", "start", "score", "target", "pack", "first_id", "kept", "host", "removed", "n_removed", "clean", "n_spans", "__pass", "pass", "a.b", "node", "first", "key_id", "own_digest", "key_digest"]
     return documents.withColumns({n: F.lit("clash") for n in names})
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow.compute  # noqa: F401
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -62,8 +63,25 @@ def test_components_match_brute_force(spark, documents, clashing):
     assert sorted(map(tuple, simhash.simhash_components(table).collect())) == brute_components(rows)
 
 
+def test_rows_without_ids_link_others(spark):
+    """Texts whose fingerprints differ by 3, 1 and 4 bits: the middle one has no id."""
+    rng = random.Random(1)
+    prints = {9: 0, None: 0b111, 1: 0b1111}
+    found = spark.createDataFrame([(d, b) for d, b in prints.items()], "doc_id long, bits long")
+    real = simhash._fingerprints
+    try:
+        simhash._fingerprints = lambda batches: iter(batches)
+        got = simhash.simhash_components(found.withColumnRenamed("bits", "text")).collect()
+    finally:
+        simhash._fingerprints = real
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, None: 1, 9: 1} and rng
+    alone = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (4, "")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in simhash.simhash_components(alone).collect()} == {(None, None), (4, 4)}
+
+
+@pytest.mark.parametrize("distance", [2, 3])
 @pytest.mark.parametrize("seed", range(4))
-def test_balls_meet_at_every_pair(seed):
+def test_balls_meet_at_every_pair(seed, distance, monkeypatch):
     import pyarrow as pa
 
     rng = random.Random(seed)
@@ -75,12 +93,67 @@ def test_balls_meet_at_every_pair(seed):
             found.add(x)
     prints = np.array(sorted(found), np.uint64)
     bits = np.unpackbits((prints[:, None] ^ prints[None]).view(np.uint8).reshape(len(prints), len(prints), 8), axis=2).sum(2)
-    i, j = np.nonzero((bits > 0) & (bits <= 3))
-    batch = pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64))], names=["bits"])
-    out = list(simhash._collide(5)(simhash._emit(5)([batch])))
-    a, b = (np.concatenate([x.column(k).to_numpy() for x in out]).view(np.uint64) for k in (0, 1))
-    assert [x.tolist() for x in simhash.forest(a, b)] == [x.tolist() for x in simhash.forest(prints[i], prints[j])]
-    assert all(bin(int(p) ^ int(q)).count("1") for p, q in zip(a, b))
+    i, j = np.nonzero((bits > 0) & (bits <= distance))
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "SPLIT", 3000)
+    rounds = pa.array([0, 2] * len(prints), pa.int32())
+    batch = pa.RecordBatch.from_arrays([rounds, pa.array(np.repeat(prints, 2).view(np.int64))], names=["round", "bits"])
+    rows = pa.Table.from_batches(list(simhash._emit(5, distance)([batch])))
+    for finer in (1, 3):
+        if finer > 1:
+            rows = pa.Table.from_batches(list(simhash._split(finer, distance)(rows.sort_by("bucket").to_batches())))
+        out = pa.Table.from_batches(list(simhash._collide(5 * finer, distance)(rows.sort_by("bucket").to_batches())))
+        for r in (0, 2):
+            mine = out.filter(pa.compute.equal(out["round"], r))
+            a, b = (mine[k].to_numpy().view(np.uint64) for k in ("a", "b"))
+            assert [x.tolist() for x in simhash.forest(a, b)] == [x.tolist() for x in simhash.forest(prints[i], prints[j])]
+            assert all(bin(int(p) ^ int(q)).count("1") <= distance for p, q in zip(a, b)) or finer
+        assert set(out["round"].to_pylist()) <= {0, 2}
+
+
+def test_emission_grows_with_the_input():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    rows = []
+    for n in (simhash.BLOCK, 2 * simhash.BLOCK, 4 * simhash.BLOCK):
+        batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n), pa.int32()), pa.array(rng.integers(0, 1 << 62, n), pa.int64())], names=["round", "bits"])
+        rows.append(sum(x.num_rows for x in simhash._emit(simhash.COARSE, 2)([batch])))
+    assert rows == [simhash.COARSE, 2 * simhash.COARSE, 4 * simhash.COARSE]
+
+
+@pytest.mark.parametrize("held", [3_000_000, 2000])
+def test_second_shuffle_changes_nothing(spark, held, monkeypatch):
+    monkeypatch.setattr(simhash, "HELD", held)
+    rng = random.Random(5)
+    found = {rng.getrandbits(63) for _ in range(60)}
+    for x in list(found):
+        for _ in range(3):
+            x ^= 1 << rng.randrange(63)
+            found.add(x)
+    rows = spark.createDataFrame([(r, b) for b in found for r in (0, 1)], "round int, bits long").repartition(4)
+    links = simhash.near_pairs(rows, 2 * len(found), 2, 2).collect()
+    prints = np.array(sorted(found), np.uint64)
+    bits = np.unpackbits((prints[:, None] ^ prints[None]).view(np.uint8).reshape(len(prints), len(prints), 8), axis=2).sum(2)
+    i, j = np.nonzero((bits > 0) & (bits <= 2))
+    want = [x.tolist() for x in simhash.forest(prints[i], prints[j])]
+    for r in (0, 1):
+        a, b = (np.array([x[k] for x in links if x["round"] == r], np.int64).view(np.uint64) for k in ("a", "b"))
+        assert [x.tolist() for x in simhash.forest(a, b)] == want
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_components_in_one_task_and_by_rounds(spark, most, monkeypatch):
+    monkeypatch.setattr(simhash, "ONE_TASK_LINKS", most)
+    rng = random.Random(most)
+    links = [(rng.randrange(-100, 100), rng.randrange(-100, 100)) for _ in range(90)]
+    root = {n: n for n in range(-100, 100)}
+    for _ in range(200):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = simhash.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()
+    named = {n for a, b in links if a != b for n in (a, b)}
+    assert {r.node: r.root for r in got} == {n: root[n] for n in named} and len(got) == len(named)
 
 
 def test_near_dedup_keeps_one_of_each(documents, no_documents):
@@ -91,11 +164,22 @@ def test_near_dedup_keeps_one_of_each(documents, no_documents):
     texts = {r.doc_id: r.text for r in documents.collect()}
     words = lambda i: frozenset((texts[i] or "").lower().split())
     assert {words(i) for i in ids} == {words(i) for i in texts} and set(ids) == {min(j for j in texts if words(j) == words(i)) for i in texts}
-    nameless = documents.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
+    nameless = documents.filter("doc_id IN (1, 3, 6)").dropDuplicates(["doc_id"]).withColumn("doc_id", F.lit(None).cast("long"))
     assert simhash.near_dedup(nameless).count() == 3 and simhash.simhash_components(nameless.unionByName(documents)).count() == 17
+    # copies without an id stand behind those with one
+    assert sorted(r.doc_id for r in simhash.near_dedup(nameless.unionByName(documents)).collect()) == sorted(ids)
     assert simhash.near_dedup(no_documents).count() == simhash.simhash_components(no_documents).count() == 0
 
 
+def test_near_dedup_of_clashing_columns_and_shared_ids(spark, documents, clashing):
+    ids = sorted(r.doc_id for r in simhash.near_dedup(documents).collect())
+    kept = simhash.near_dedup(clashing)
+    assert kept.columns == clashing.columns and sorted(r.doc_id for r in kept.collect()) == ids
+    rows = [(1, " ".join(f"a{i}" for i in range(40))), (1, " ".join(f"b{i}" for i in range(40))), (1, " ".join(f"b{i}" for i in range(40))), (2, " ".join(f"B{i}" for i in range(40)))]
+    got = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text[:2]) for r in got) == [(1, "a0"), (1, "b0")]
+
+
 def brute_repeats(rows):
     first = {}
     for d, t in rows:
@@ -144,6 +228,13 @@ def test_repeats_of_any_table(documents, clashing, no_documents):
     assert rows[2].text == "" and rows[2].n_chars == 0 and rows[6].n_chars == 1 and rows[3].text is None
 
 
+def test_cuts_keep_genuine_replacement_characters(spark):
+    shared = "é" * 40
+    rows = [(1, "a" + shared), (2, "\ufffd one " + shared + "b two \ufffd"), (3, "x\ufffd" + shared[:-1] + "\u00ea tail")]
+    got = {r.doc_id: r.text for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "a" + shared, 2: "\ufffd one b two \ufffd", 3: "x\ufffd tail"}
+
+
 def test_long_texts_go_in_segments(monkeypatch):
     rng = np.random.default_rng(0)
     text = rng.integers(97, 100, 5000).astype(np.uint8)
@@ -239,7 +330,7 @@ def test_only_copies_by_shingles_go(spark, seed):
 
 def test_large_groups_are_compared_in_blocks(spark):
     texts = copy_families(2)
-    sets = [simhash.shingle_set(t) for t in texts]
+    sets = [simhash.shingle_set(simhash.word_hashes(t)) for t in texts]
     nodes = {simhash._name(s): s for s in sets}
     root = min(nodes)
     rows = [(root, n, bytearray(s.astype("<u8").tobytes())) for n, s in nodes.items()]

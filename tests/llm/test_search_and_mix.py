@@ -144,6 +144,9 @@ def test_mix(spark, documents, clashing, no_documents):
     assert all(abs(taken[s] - target[s]) <= 60 for s in sizes) and sum(taken.values()) <= 1.5 * sum(sizes.values())
     assert mixing.mix_sources(documents).count() == mixing.mix_sources(clashing.drop("target")).count() == 14
     assert mixing.mix_sources(no_documents).count() == mixing.mixed_documents(no_documents).count() == 0
+    # rows without an id aren't one another's neighbours
+    nameless = table.withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat("text", F.lit(" x"), F.rand(1).cast("string")))
+    assert mixing.mix_sources(nameless).count() == 600
     blank = spark.createDataFrame([(1, "a", " "), (2, None, None)], "doc_id long, source string, text string")
     assert [r.taken for r in mixing.mix_sources(blank).collect()] == [0, 0]
 
@@ -210,4 +213,5 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r.doc_id for r in kept) == list(range(60))
     assert sum(shared in r.text for r in kept) == 1 and all(r.n_chars == len(r.text) for r in kept)
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert all(len(r.ids) == r.n_tokens for r in out)
     assert {r.doc_id for r in out} <= set(range(60)) and len(out) > 60
