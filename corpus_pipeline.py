@@ -1,7 +1,9 @@
 """A corpus pipeline: quality rules, near-duplicates, repeated passages, mixing, token ids.
 
 Each stage reads what its predecessor kept, as Parquet; all but the last return the
-columns of ``documents``. Mixing may take a document twice, and BPE then encodes both.
+columns of ``documents``, the last the token ids with digests of ids and decoded text.
+Mixing may take a document twice, and BPE then encodes both. The other operators of
+tessella.llm (toxicity, extraction, token counts, token files, top-k) take no part.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_round_trip(docs, tokenizer_path(VOCABULARY))
+    return bpe_round_trip(docs, tokenizer_path(VOCABULARY), with_ids=True)
 
 
 STAGES = [
