@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import defaultdict
 from fractions import Fraction
 
@@ -163,34 +164,135 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <!-- c --><div class="ad">buy</div><article><h1>Head &amp; more</h1><p><b>One<br>two  three<p>Four &lt;4&gt; &am</p><aside>side</aside><div class="comments"><p>me too</p></div></article><form>f</form><footer>&copy; foot</footer></body></html>"""
 
 
+WORDS = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
+
+
+def say(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
 def test_pages(spark):
-    body = "<html><body><div class='top'>Same banner on all pages</div><div class='main'><p>Own text {}</p></div></body></html>"
-    rows = [(1, "http://a.com/1", PAGE), (2, None, None), (3, "http://a.com/2", ""), (4, "no url", "just text"), (4, "no url", "just text"), (5, "http://a.com/3", "<p>broken <b>markup <div class=notice>no</div> tail"), (6, "http://A.com/4", "<script>x"), (7, "http://a.com/5", "<p>" + "long word " * 50_000)]
-    rows += [(100 + i, f"https://b.org/{i}", body.format(i)) for i in range(20)]
-    table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("clash"), "removed": F.lit("clash"), "text": F.lit("clash")}).repartition(3)
+    rng = random.Random(0)
+    body = "<html><body><div class='top'>Same banner on all pages, page {}</div><div class='main'><p>{}</p></div></body></html>"
+    rows = [(1, "http://a.com/1", PAGE), (2, None, None), (3, "http://a.com/2", ""), (4, "no url", "just text"), (4, "no url", "just text"), (5, "http://a.com/3", "<p>broken <b>markup <div class=notice>no</div> tail"), (6, "http://A.com/4", "<script>x"), (7, "http://a.com/5", "<p>" + "long word " * 50_000), (8, None, PAGE)]
+    own = {100 + i: say(rng, 12) for i in range(20)}
+    rows += [(i, f"https://b.org/{i}", body.format(i, own[i])) for i in own]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("clash"), "removed": F.lit("clash"), "text": F.lit("clash"), "a.b": F.lit("clash")}).repartition(3)
     got = {r.page_id: r for r in style_tree.extract_text(table).collect()}
     assert len(style_tree.extract_text(table).collect()) == len(rows)
-    assert got[1].text == "Head & more\nOne two three\nFour <4> &am"
+    assert got[1].text == got[8].text == "Head & more\nOne two three\nFour <4> &am"
     assert got[2].text == got[3].text == got[6].text == "" and got[4].text == "just text"
     assert got[5].text == "broken markup\ntail"
     assert got[7].n_chars == 499_999
     # the branch that all pages of a host share goes, what differs stays
-    assert all(got[100 + i].text == f"Own text {i}" for i in range(20))
+    assert all(got[i].text == own[i] for i in own)
     assert all(r.n_chars == len(r.text) for r in got.values())
     assert style_tree.extract_text(table.limit(0)).count() == 0
 
 
-def test_articles_that_repeat_on_a_host_stay(spark):
-    rows = [(i, f"http://c.net/{i}", "<body><article><p>The same article</p></article></body>") for i in range(30)]
+def test_importance_never_empties_a_page(spark):
+    rows = [(i, f"http://c.net/{i}", "<body><nav>go</nav><article><p>The same article</p></article></body>") for i in range(30)]
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.text for r in style_tree.extract_text(table).collect()} == {"The same article"}
 
 
-def test_importance(spark):
-    rows = [(i, f"http://d.net/{i}", f"<body><div class='x'>same</div><div class='y'>text {i}</div></body>") for i in range(10)]
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_importance_decides_inside_articles(spark, broadcast, monkeypatch):
+    """Unnamed menus with other words on every page, and lines that all pages share, within articles."""
+    monkeypatch.setattr(style_tree, "BROADCAST_PATHS", broadcast)
+    rng = random.Random(3)
+    rows, want = [], {}
+    for i in range(40):
+        links = "".join(f"<li><a href='/{j}'>{say(rng, 1)}</a></li>" for j in range(rng.randint(3, 8)))
+        paragraphs = [say(rng, rng.randint(5, 60)) for _ in range(rng.randint(2, 9))]
+        title = say(rng, 5)
+        html = f"<body><div class='rail'><ul>{links}</ul></div><article><h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in paragraphs[:1]) + f"<div class='pager'>Read on, part {i} of 40</div><div class='toc'><ul>{links}</ul></div>" + "".join(f"<p>{x}</p>" for x in paragraphs[1:]) + "</article></body>"
+        rows.append((i, f"http://e.io/{i}", html))
+        want[i] = "\n".join([title, *paragraphs])
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
-    found = {r.path: r.importance for r in style_tree.style_tree(table).collect()}
-    assert found[">body>div.x"] < 0.01 and found[">body>div.y"] > 0.99
+    assert {r.page_id: r.text for r in style_tree.extract_text(table).collect()} == want
+    assert all(style_tree.page_text(html) != want[i] for i, _, html in rows)
+
+
+def brute_tree(pages):
+    """Importance by the definitions, with trees of tags as nested paths."""
+    shown, texts, chars, linked, named, parent = defaultdict(dict), defaultdict(list), defaultdict(int), defaultdict(int), {}, {}
+    for k, page in enumerate(pages):
+        for node in style_tree.read_page(page)[0]:
+            shown[node.path].setdefault(k, []).append(node.shape())
+            named[node.path], parent[node.path] = node.named, node.parent
+            for text, inside in node.blocks:
+                texts[node.path] += [(f, k) for f in style_tree.features_of(text)]
+                chars[node.path] += len(text)
+                linked[node.path] += inside
+    on = defaultdict(set)
+    for path, found in texts.items():
+        for f, k in found:
+            on[path, f].add(k)
+
+    def entropy(groups, m):
+        return -sum(n / m * math.log(n / m) for n in groups) / math.log(m) if m > 1 else 1.0
+
+    def value(path):
+        m = len(shown[path])
+        shapes = defaultdict(int)
+        for own in shown[path].values():
+            shapes["/".join(own)] += 1
+        presentation = entropy(shapes.values(), m)
+        under = sorted(p for p in shown if parent[p] == path and p != path)
+        parts = [value(p)[0] for p in under]
+        if chars[path]:
+            spread = sum(entropy([1] * len(on[path, f]), len(on[path, f])) * math.log(len(on[path, f])) / math.log(m) if m > 1 and len(on[path, f]) > 1 else 0 for f, _ in texts[path]) / len(texts[path])
+            parts.append((1 - spread) * (1 - linked[path] / chars[path]) * (1 + presentation) / 2)
+        g = 0.9 ** len(under)
+        own = (1 - g) * presentation + g * sum(parts) / len(parts) if parts else presentation
+        drawn = (own * (m - 1) + 1) / (m + 1) * (0.2 if named[path] else 1)
+        return own, drawn, max([drawn, *(value(p)[2] for p in under)])
+
+    return {path: value(path)[1:] for path in shown}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tree_matches_brute_force(spark, seed):
+    rng = random.Random(seed)
+    shared = [say(rng, rng.randint(1, 8)) for _ in range(4)]
+    text = lambda: rng.choice(shared) if rng.random() < 0.4 else say(rng, rng.randint(0, 30)) + rng.choice(["", " 7", " 19"])
+
+    def branch(depth):
+        tag = rng.choice(["div", "div class=x", "section", "p", "ul", "nav", "div class=ad", "article"])
+        inner = "".join(branch(depth - 1) for _ in range(rng.randint(0, 3))) if depth else ""
+        return f"<{tag}>{text()}<a href=u>{text()}</a>{inner}{text()}</{tag.split()[0]}>"
+
+    pages = [f"<body>{branch(3)}{branch(2)}</body>" for _ in range(rng.choice([1, 6, 12]))]
+    table = spark.createDataFrame([(i, "http://f.org", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    got = {r.path: r for r in style_tree.style_tree(table).collect()}
+    want = brute_tree(pages)
+    assert set(got) == set(want)
+    for path, (importance, best) in want.items():
+        assert math.isclose(got[path].importance, importance, abs_tol=1e-9) and math.isclose(got[path].best, best, abs_tol=1e-9)
+    low = {p for p, (_, best) in want.items() if best < style_tree.LOW}
+    texts = {r.page_id: r.text for r in style_tree.extract_text(table).collect()}
+    for i, page in enumerate(pages):
+        nodes = {id(n): n for n in style_tree.read_page(page)[0]}
+        up = {}
+        for n in nodes.values():
+            up.setdefault(n.path, n.parent)
+        gone = lambda p: p > 0 and (p in low or gone(up[p]))
+        blocks = style_tree.read_page(page)[1]
+        assert texts[i] == "\n".join([t for t, n in blocks if not gone(n.path)] or [t for t, _ in blocks])
+
+
+@pytest.mark.parametrize("bad", ["<a " * 300_000, "<a \"" * 300_000, "<a \">\" " * 100_000, "<div>" * 50_000 + "</p>" * 50_000, "<span class=ad>" * 50_000 + "<p></p>" * 50_000, "<" * 300_000, "<" + "a" * 300_000])
+def test_broken_markup_takes_linear_time(bad):
+    began = time.process_time()
+    style_tree.page_text(bad)
+    assert time.process_time() - began < 3
+
+
+def test_unclosed_tags_are_text():
+    assert style_tree.page_text("<p>one <b two") == "one <b two"
+    assert style_tree.page_text('<p>one <a href="x>two</a> 3 < 4') == "one two 3 < 4"
+    assert style_tree.page_text("<div>a <span class=ad>buy <span>it</span> now</span> b</div>") == "a\nb"
 
 
 def test_pipeline(spark, tmp_path):
