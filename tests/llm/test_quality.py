@@ -28,6 +28,11 @@ def dup_chars(words, n):
     return sum(len(words[i]) for i in inside)
 
 
+def run_chars(words):
+    inside = {i + k for n in range(1, 6) for i in range(n, len(words) - n + 1) if words[i : i + n] == words[i - n : i] for k in range(n)}
+    return sum(len(words[i]) for i in inside)
+
+
 def test_measures_match_brute_force(documents, clashing):
     rows = [r for r in documents.collect() if r.doc_id != 6]
     for table in (documents, clashing):
@@ -38,6 +43,7 @@ def test_measures_match_brute_force(documents, clashing):
             assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, g.base_failed) == brute(r.text)
             for n in repetition.NGRAM_LIMITS:
                 assert g[f"dup_chars_{n}"] == dup_chars(WORD.findall(r.text or ""), n)
+            assert g.run_chars == run_chars(WORD.findall(r.text or ""))
             assert not (g.base_failed and g.kept)
 
 
@@ -48,7 +54,7 @@ def test_random_texts_match_brute_force():
         text = "".join(w + rng.choice([" ", "\n", "\t", "  "]) for w in words)
         m = repetition.measure(text)
         assert m[:6] == brute(text)
-        assert list(m[8:]) == [dup_chars(words, n) for n in repetition.NGRAM_LIMITS]
+        assert list(m[8:]) == [run_chars(words), *[dup_chars(words, n) for n in repetition.NGRAM_LIMITS]]
 
 
 def test_verdicts():
@@ -57,6 +63,32 @@ def test_verdicts():
     assert not repetition.measure("spam spam spam " * 50)[6]
     assert not repetition.measure(" ".join(f"{w} " * 7 for w in ("alpha", "beta", "gamma", "delta")))[6]
     assert not repetition.measure("too short")[6]
+    # each limit bites below the base rule: 29 % of the words in windows of 8 and 6, 33 % in windows of 5
+    rng = np.random.default_rng(1)
+    fresh = iter(f"{a}{b}{c}{d}" for a in "bcdfg" for b in "aeiou" for c in "lmnrst" for d in "aeiou")
+    for n in (8, 6, 5):
+        part = [next(fresh) for _ in range(n)]
+        times = 4 if n == 8 else 6
+        room = round(n * times / (0.33 if n == 5 else 0.29)) - n * times
+        text = []
+        for _ in range(times):
+            text += part + [next(fresh) for _ in range(room // times)]
+        m = repetition.measure(" ".join(text))
+        assert not m[5] and not m[6] and rng, n
+
+
+def test_sql_gives_the_same(spark, documents, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, rng.integers(2, 60), rng.integers(0, 150)))) for i in range(150)]
+    table = documents.filter("doc_id <> 6").select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    table.coalesce(1).write.parquet(f"{tmp_path}/documents")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    got = repetition.repetition_rules(table)
+    want = duck.execute(f"SELECT {', '.join(got.columns)} FROM ({repetition.RULES_SQL})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
 
 
 def test_keep_documents(documents, no_documents):
@@ -80,7 +112,7 @@ def test_short_repeats_go(spark):
     for size in (30, 200, 1000):
         rows.append((len(rows), " ".join(rng.choice(names, size, p=zipf / zipf.sum()))))
     rows.append((len(rows), "It is very very good that we had had a walk before the rain, though nobody said so so far today."))
-    assert all(repetition.short_repeats(t) for _, t in rows[:n_bad])
+    assert not any(repetition.measure(t)[6] for _, t in rows[:n_bad])
     kept = repetition.keep_documents(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows[n_bad:]}
 
