@@ -17,13 +17,16 @@ EMPTY = b""
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a temporary folder is made and remembered in the session.
+    It is the session's ``spark.checkpoint.dir``. Where that is unset, a session of one
+    machine gets a temporary folder, remembered in the session; on a cluster, whose
+    executors would write to disks of their own, that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         path = spark.conf.get("tessella.shared.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("tessella.shared.dir", path)
     return path.rstrip("/")

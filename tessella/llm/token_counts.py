@@ -9,7 +9,9 @@ Normalised content: null is the empty text. If the tokenizer has a normaliser, i
 the normaliser's output, except for texts that hold an added token's string, which
 stand for themselves, as added tokens are found before normalising. Copies collapse
 in each map task before the texts are shuffled, so a text that a third of all rows
-share moves once a task. Repeated rows each get their row; an empty table gives none.
+share moves once a task; the last join reads stored tables on both sides, so adaptive
+execution can split the rows of one digest. Repeated rows each get their row, rows
+without doc_id too; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fresh_path, only
+from tessella.llm.common import fresh_path, only, stage
 
 #: Bytes of text that one call of the library gets.
 CALL_BYTES = 1 << 20
@@ -107,16 +109,18 @@ def token_counts(docs: DataFrame, path: str, cache_path: str | None = None, limi
     cache_path = cache_path or fresh_path(spark, "token-cache")
     texts = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     keyed = texts.withColumn("digest", F.sha2(F.encode("text", "UTF-8"), 256)) if _normaliser(path) is None else texts.mapInArrow(_digests(path), "doc_id long, text string, digest string")
-    stored = spark.createDataFrame([], _CACHE)
+    # a new cache is an empty table, so documents meet it in any case
     where = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        stored = spark.read.schema(_CACHE).parquet(cache_path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        spark.createDataFrame([], _CACHE).write.mode("append").parquet(cache_path)
+    stored = spark.read.schema(_CACHE).parquet(cache_path)
     own = F.col("tokenizer") == version
     contents = keyed.select("digest", "text").groupBy("digest").agg(F.first("text").alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     misses = contents.join(stored.filter(own).select("digest"), "digest", "left_anti")
     encoded = misses.mapInArrow(_encode(path), "digest string, n_bytes long, n_tokens long")
     encoded.select(F.lit(version).alias("tokenizer"), "digest", "n_bytes", "n_tokens").write.mode("append").parquet(cache_path)
     # two jobs may have appended the same content; their counts are equal
-    counts = spark.read.schema(_CACHE).parquet(cache_path).filter(own).groupBy("digest").agg(F.max("n_bytes").alias("own_bytes"), F.max("n_tokens").alias("n_tokens"))
+    wanted = spark.read.schema(_CACHE).parquet(cache_path).filter(own).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts, _ = stage(wanted, "token-counts")
     found = keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")).join(counts, "digest")
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -292,8 +292,10 @@ def _tokenise(path: str, end: int):
 
         for doc_ids, texts in _groups(batches):
             gc.disable()  # no cycles are made, and there are many objects to look through
-            encoded = encoder.encode_all(texts)
-            gc.enable()
+            try:
+                encoded = encoder.encode_all(texts)
+            finally:
+                gc.enable()
             for doc_id, own in zip(doc_ids, encoded):
                 docs.append(doc_id)
                 counts.append(len(own) // 4 + 1)

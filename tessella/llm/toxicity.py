@@ -6,11 +6,13 @@ buckets as features. On the training rows each bucket gets the log of its smooth
 share in toxic over its share in other texts. Logistic regression on features scaled
 by those ratios gives the weights; a score is the logistic of a text's sum.
 
-Training uses at most ``MAX_ROWS`` labelled rows, those whose doc_id has the least
-hash; that bound is what may be broadcast and fitted on the driver. Scoring covers
+Training uses at most ``max_rows`` labelled rows, those whose doc_id has the least
+hash; that bound is what may be broadcast and fitted on the driver. The model has at
+most ``max_features`` buckets, the most telling by chi-square of those that ``min_docs``
+training rows have: a parameter of the model, as ratios of rare n-grams are noise. Scoring covers
 every whole text. Null and empty texts have no features and get the intercept's score.
 Labels other than 0 and 1 and null ids teach nothing; of several labels of one doc_id
-the largest counts. Without rows of both classes all scores are the smoothed share of
+the largest counts, of several texts of one doc_id the one of least digest. Without rows of both classes all scores are the smoothed share of
 toxic ones, one half without any rows. Repeated rows get equal scores.
 """
 
@@ -66,15 +68,15 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def select(buckets: np.ndarray, pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> tuple[np.ndarray, np.ndarray]:
+def select(buckets: np.ndarray, pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS) -> tuple[np.ndarray, np.ndarray]:
     """Column of each bucket and log-count ratio of each column, the most telling first."""
-    enough = pos + neg >= MIN_DOCS
+    enough = pos + neg >= min_docs
     buckets, pos, neg = buckets[enough], pos[enough].astype(float), neg[enough].astype(float)
     ratio = np.log((pos + SMOOTHING) / (pos + SMOOTHING).sum()) - np.log((neg + SMOOTHING) / (neg + SMOOTHING).sum())
     n, df = n_pos + n_neg, pos + neg
     expected = df * n_pos / n
     telling = (pos - expected) ** 2 / np.maximum(expected * (1 - df / (n + 1)), 1e-9)
-    order = np.lexsort((buckets, -telling))[:MAX_FEATURES]
+    order = np.lexsort((buckets, -telling))[:max_features]
     column = np.full(BUCKETS, -1, np.int32)
     column[buckets[order]] = np.arange(len(order))
     return column, ratio[order]
@@ -135,13 +137,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS) -> Model:
     """A model from the labelled rows that aren't held out."""
     spark = docs.sparkSession
     known = only(labels, "doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    found = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # one row for each doc_id, however often the documents repeat it
+    texts = found.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text").alias("digest"), "text")).alias("least")).select("least.text", "toxic")
     rows, path = stage(texts, "toxicity-rows")
     rows = rows.repartition(8)
     n = dict(rows.groupBy("toxic").count().collect())
@@ -149,8 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     if not n_pos or not n_neg:
         remove(spark, path)
         return Model(np.full(BUCKETS, -1, np.int32), np.zeros(0), float(np.log((n_pos + 1) / (n_neg + 1))))
-    counts = rows.mapInArrow(_count, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter(f"pos + neg >= {MIN_DOCS}").toArrow()
-    column, ratio = select(*(counts.column(c).to_numpy() for c in ("bucket", "pos", "neg")), n_pos, n_neg)
+    counts = rows.mapInArrow(_count, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter(f"pos + neg >= {min_docs}").toArrow()
+    column, ratio = select(*(counts.column(c).to_numpy() for c in ("bucket", "pos", "neg")), n_pos, n_neg, max_features, min_docs)
     model = Model(column, np.zeros(len(ratio)), 0.0)
     sets = rows.mapInArrow(_kept(model), "columns binary, toxic int").toArrow()
     remove(spark, path)

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from tessella.llm import repetition, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -151,3 +152,50 @@ def test_toxicity_takes_any_table(spark, documents, clashing, no_documents):
     assert scores == {0.5}
     texts = documents.filter("doc_id in (1, 2)").collect()
     assert model.score(texts[0].text) == model.score(texts[1].text)
+
+
+def test_ratios_and_scores_match_brute_force(spark):
+    docs, labels = labelled(spark, 120)
+    model = toxicity.train(docs, labels, max_features=500, min_docs=3)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    learnt = [(texts[r.doc_id], r.toxic) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+
+    def grams(text):
+        padded = " " + text.lower() + " "
+        return {padded[i : i + n] for n in (3, 4, 5) for i in range(len(padded) - n + 1)}
+
+    def bucket(gram):
+        rolled = 0
+        for c in map(ord, gram):
+            rolled = (rolled * 0x100000001B3 + c) % 2**64
+        return ((rolled + len(gram)) * 0x9E3779B97F4A7C15) % 2**64 >> 45
+
+    counts = {}
+    for text, toxic in learnt:
+        for b in {bucket(g) for g in grams(text)}:
+            counts.setdefault(b, [0, 0])[toxic] += 1
+    enough = {b: c for b, c in counts.items() if sum(c) >= 3}
+    totals = [sum(c[k] + 1 for c in enough.values()) for k in (0, 1)]
+    n = [sum(t == k for _, t in learnt) for k in (0, 1)]
+
+    def telling(c):
+        df, expected = sum(c), sum(c) * n[1] / sum(n)
+        return (c[1] - expected) ** 2 / max(expected * (1 - df / (sum(n) + 1)), 1e-9)
+
+    best = sorted(enough, key=lambda b: (-telling(enough[b]), b))[:500]
+    assert [model.column[b] for b in best] == list(range(500)) and (model.column >= 0).sum() == 500
+    ratio = [np.log((enough[b][1] + 1) / totals[1]) - np.log((enough[b][0] + 1) / totals[0]) for b in best]
+    rows = [np.array(sorted({best.index(b) for b in {bucket(g) for g in grams(t)} if b in set(best)})) for t, _ in learnt[:5]]
+    assert [model.kept(t).tolist() for t, _ in learnt[:5]] == [r.tolist() for r in rows]
+    _, own = toxicity.select(*(np.array(x) for x in zip(*[(b, c[1], c[0]) for b, c in counts.items()])), n[1], n[0], 500, 3)
+    assert np.allclose(own, ratio)
+    for text, _ in learnt[:20]:
+        z = model.intercept + sum(model.weights[best.index(b)] for b in {bucket(g) for g in grams(text)} if b in set(best))
+        assert abs(model.score(text) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_a_repeated_doc_id_teaches_once(spark):
+    docs, labels = labelled(spark, 60)
+    again = docs.filter("doc_id = 1").withColumn("text", F.concat("text", F.lit("!"))).unionByName(docs.filter("doc_id = 1"))
+    a = toxicity.train(docs.unionByName(again), labels)
+    assert len(a.weights) and a.score("x") == toxicity.train(docs.unionByName(again).repartition(5), labels).score("x")
