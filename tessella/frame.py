@@ -33,11 +33,13 @@ ONE_TASK_ROWS = 2_000_000
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The table without its lineage, in the folder of spark.checkpoint.dir where that is set."""
+    """The table without its lineage, in the folder of spark.checkpoint.dir; only a session of one machine may leave it unset."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not path:
+            if context.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             import tempfile
 
             path = "file://" + tempfile.mkdtemp(prefix="tessella-")

@@ -67,6 +67,12 @@ def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     return roc_points(df, y, score).agg(F.try_divide(area, F.max("positives") * F.max("negatives")).alias("roc_auc"))
 
 
+def pr_points(df: DataFrame, y: str, score: str) -> DataFrame:
+    """(threshold, precision, recall) at every distinct score."""
+    points = roc_points(df, y, score)
+    return points.select("threshold", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.max("tp").over(Window.partitionBy())).alias("recall"))
+
+
 def pr_auc(df: DataFrame, y: str, score: str, order: str) -> DataFrame:
     """One row: area and average precision under the envelope; a point a row, ties by ``order``."""
     rows = df.select(F.col(score).alias("s"), F.col(order).alias("o"), (F.col(y) > 0.5).cast("long").alias("hit"))

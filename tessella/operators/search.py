@@ -368,12 +368,12 @@ def meta_features(df: DataFrame, columns: Sequence[str], target: str) -> dict[st
     long = stacked(df, columns)
     s = long.groupBy("feature").agg(F.skewness("value").alias("s"), F.kurtosis("value").alias("k"), F.avg(F.col("value").isNull().cast("double")).alias("m"), F.avg((F.col("value") == 0).cast("double")).alias("z"), F.count_distinct("value").alias("u"))
     r = s.agg(*[F.avg(c) for c in "skmz"], F.avg("u")).first()
-    y = {x[0]: x[1] for x in df.groupBy(target).count().orderBy(F.desc("count")).limit(1000).collect()}
-    n = df.count()
-    shares = [v / n for v in y.values()]
+    # every class counts, however many there are: their sizes are summed where they are
+    sizes = df.groupBy(target).count().select(F.col("count").cast("double").alias("c")).agg(F.count("*"), F.sum("c"), F.max("c"), F.min("c"), F.sum(F.col("c") * F.ln("c"))).first()
+    classes, n, most, least, spread = sizes[0], int(sizes[1] or 0), sizes[2] or 0.0, sizes[3] or 0.0, sizes[4] or 0.0
     corr = df.agg(*[F.abs(F.corr(clean(c), clean(target))) for c in columns]).first() if dict(df.dtypes)[target] not in ("string",) else [None]
     known = [c for c in corr if c is not None and not math.isnan(c)]
-    return {"n": n, "p": len(columns), "n_over_p": n / len(columns), "classes": len(y), "majority": max(shares), "minority": min(shares), "entropy": -sum(p * math.log(p) for p in shares if p), "skewness": r[0] or 0.0, "kurtosis": r[1] or 0.0, "missing": r[2] or 0.0, "sparsity": r[3] or 0.0, "distinct": r[4] or 0.0, "correlation": sum(known) / len(known) if known else 0.0}
+    return {"n": n, "p": len(columns), "n_over_p": n / len(columns), "classes": classes, "majority": most / max(n, 1), "minority": least / max(n, 1), "entropy": math.log(n) - spread / n if n else 0.0, "skewness": r[0] or 0.0, "kurtosis": r[1] or 0.0, "missing": r[2] or 0.0, "sparsity": r[3] or 0.0, "distinct": r[4] or 0.0, "correlation": sum(known) / len(known) if known else 0.0}
 
 
 def recommend(profile: dict[str, float], task: str) -> list[tuple[str, float, str]]:

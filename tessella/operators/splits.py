@@ -41,6 +41,21 @@ def repeated_stratified_kfold(df: DataFrame, k: int, repeats: int, label: str, o
     return _union(stratified_kfold(df, k, label, order, seed=seed + r).withColumn("repeat", F.lit(r)) for r in range(repeats))
 
 
+def train_test_split(df: DataFrame, test_size: float, order: Sequence[str], stratify: str | None = None, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows; with ``stratify`` every class gives ceil(n * test_size) rows to the test part.
+
+    Test rows are the first of the order, or of a hashed order with a seed.
+    """
+    label = F.col(f"`{stratify}`") if stratify else F.lit(0)
+    sizes = df.groupBy(label.alias("__c")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy(F.col("__c").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("__c", F.coalesce(before, F.lit(0)).alias("__a"), F.ceil(F.col("__n") * test_size - 1e-9).alias("__t"))
+    numbered = in_order(df.withColumn("__l", label), [F.col("__l").asc_nulls_first(), *_seeded(order, seed)])
+    placed = numbered.join(F.broadcast(sizes), F.col("__l").eqNullSafe(F.col("__c")))  # one row a class
+    test = F.col("__i") - F.col("__a") < F.col("__t")
+    return placed.filter(~test).select(*df.columns), placed.filter(test).select(*df.columns)
+
+
 def _union(frames) -> DataFrame:
     frames = list(frames)
     out = frames[0]

@@ -184,18 +184,28 @@ class SparseMatrix:
         return self.df.agg(F.count("*").alias("nnz"), (F.count("*") / size).alias("density"), (F.count("*") / size > 0.5).alias("dense_is_better"))
 
     def distances(self, queries: SparseMatrix, metric: str = "euclidean") -> DataFrame:
-        """(query, row, distance) of rows that share a column; cosine needs no others."""
+        """(query, row, distance): cosine of the pairs that share a column, as others are at 1; euclidean and manhattan of all pairs.
+
+        Sums over shared columns come from a join on columns; what a pair doesn't share
+        follows from the rows' sizes, so rows without any column in common, or without
+        any value, have their distance too. That table has a row for each pair by nature.
+        """
+        if metric not in ("euclidean", "cosine", "manhattan"):
+            raise InvalidInput(f"no distance {metric}")
         q = queries.df.select(F.col("row").alias("query"), "column", F.col("value").alias("v"))
-        dots = q.join(self.df, "column").groupBy("query", "row").agg(F.sum(F.col("v") * F.col("value")).alias("dot"), F.sum(F.least(F.abs("v"), F.abs("value")) * F.when(F.signum("v") == F.signum("value"), 2.0).otherwise(0.0)).alias("common"))
+        shared = F.least(F.abs("v"), F.abs("value")) * F.when(F.signum("v") == F.signum("value"), 2.0).otherwise(0.0)
+        dots = q.join(self.df, "column").groupBy("query", "row").agg(F.sum(F.col("v") * F.col("value")).alias("dot"), F.sum(shared).alias("common"))
         a = queries.df.groupBy(F.col("row").alias("query")).agg(F.sum(F.col("value") ** 2).alias("qq"), F.sum(F.abs("value")).alias("q1"))
         b = self.df.groupBy("row").agg(F.sum(F.col("value") ** 2).alias("rr"), F.sum(F.abs("value")).alias("r1"))
-        joined = dots.join(a, "query").join(b, "row")
-        found = {
-            "euclidean": F.sqrt(F.greatest(F.col("qq") + F.col("rr") - 2 * F.col("dot"), F.lit(0.0))),
-            "cosine": 1 - F.col("dot") / F.sqrt(F.col("qq") * F.col("rr")),
-            "manhattan": F.col("q1") + F.col("r1") - F.col("common"),
-        }
-        return joined.select("query", "row", found[metric].alias("distance"))
+        if metric == "cosine":
+            joined = dots.join(a, "query").join(b, "row")
+            return joined.select("query", "row", (1 - F.col("dot") / F.sqrt(F.col("qq") * F.col("rr"))).alias("distance"))
+        spark = self.df.sparkSession
+        a = spark.range(queries.n_rows).select(F.col("id").alias("query")).join(a, "query", "left").fillna(0.0)
+        b = spark.range(self.n_rows).select(F.col("id").alias("row")).join(b, "row", "left").fillna(0.0)
+        every = a.crossJoin(b).join(dots, ["query", "row"], "left").fillna(0.0)
+        found = {"euclidean": F.sqrt(F.greatest(F.col("qq") + F.col("rr") - 2 * F.col("dot"), F.lit(0.0))), "manhattan": F.greatest(F.col("q1") + F.col("r1") - F.col("common"), F.lit(0.0))}
+        return every.select("query", "row", found[metric].alias("distance"))
 
 
 def sparse_eye(spark, n: int) -> SparseMatrix:

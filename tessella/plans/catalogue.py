@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators.preprocessing import StandardScaler
-from tessella.plans import models, statistics, tables  # noqa: F401  they register their queries
+from tessella.plans import iterations, models, statistics, tables, workflow  # noqa: F401  they register their queries
 from tessella.plans.registry import QUERIES, SQL, Query, rounded, table
 
 

@@ -264,7 +264,10 @@ def chi2_scores(spark, d):
 @register("select_k_best")
 def select_k_best(spark, d):
     df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
-    return K.SelectKBest(2).fit(df, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "l_returnflag").transform(df)
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    chosen = K.SelectKBest(2).fit(df, columns, "l_returnflag").transform(df)
+    kept = [c for c in chosen.columns if c in columns]
+    return chosen.agg(F.count("*").alias("n")).select(F.explode(F.array(*map(F.lit, kept))).alias("feature"), "n")
 
 
 def _vectors(spark, d):
@@ -314,7 +317,7 @@ def lof_scores(spark, d):
     return rounded(N.local_outlier_factor(_vectors(spark, d), 10), ["lrd", "score"])
 
 
-@register("tomek_links", f"WITH {_NEAR}, m AS (SELECT * FROM n WHERE r = 1) SELECT a.q AS a, a.j AS b FROM m a JOIN m b ON a.q = b.j AND a.j = b.q WHERE a.q < a.j AND a.yq <> a.yj")
+@register("tomek_links", f"WITH {_NEAR}, m AS MATERIALIZED (SELECT * FROM n WHERE r = 1) SELECT a.q AS a, a.j AS b FROM m a JOIN m b ON a.q = b.j AND a.j = b.q WHERE a.q < a.j AND a.yq <> a.yj")
 def tomek_links(spark, d):
     return N.tomek_links(_vectors(spark, d), "label")
 

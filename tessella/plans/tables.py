@@ -293,16 +293,17 @@ def bigrams_binary(spark, d):
 
 
 def _matrix(spark, d) -> X.SparseMatrix:
-    df = table(spark, d, "lineitem").filter("l_orderkey <= 200").groupBy(F.col("l_orderkey").alias("row"), F.col("l_suppkey").alias("column")).agg(F.sum("l_quantity").alias("value"))
-    return X.SparseMatrix(df, 201, 1 + table(spark, d, "supplier").count())
+    events = table(spark, d, "events")
+    df = events.groupBy(F.col("user_id").alias("row"), F.hour("ts").cast("long").alias("column")).agg(F.sum("value").alias("value"))
+    return X.SparseMatrix(df, 1 + events.agg(F.max("user_id")).first()[0], 24)
 
 
-_MATRIX = "WITH m AS (SELECT l_orderkey AS r, l_suppkey AS c, sum(l_quantity) AS v FROM lineitem WHERE l_orderkey <= 200 GROUP BY ALL)"
+_MATRIX = "WITH m AS (SELECT user_id AS r, hour(ts::TIMESTAMP)::BIGINT AS c, sum(value) AS v FROM events GROUP BY ALL), k AS (SELECT max(user_id) + 1 AS k FROM events)"
 
 
-@register("sparse_gram", f"{_MATRIX} SELECT a.c AS row, b.c AS \"column\", sum(a.v * b.v) AS value FROM m a JOIN m b USING (r) GROUP BY ALL")
+@register("sparse_gram", f"{_MATRIX} SELECT a.c AS row, b.c AS \"column\", round(sum(a.v * b.v), 4) AS value FROM m a JOIN m b USING (r) GROUP BY ALL")
 def sparse_gram(spark, d):
-    return _matrix(spark, d).gram().df
+    return rounded(_matrix(spark, d).gram().df, ["value"], 4)
 
 
 @register("sparse_cosine", f"{_MATRIX}, n AS (SELECT r, sqrt(sum(v * v)) AS s FROM m GROUP BY r) SELECT a.r AS query, b.r AS row, round(1 - sum(a.v * b.v) / any_value(x.s * y.s), 6) + 0.0 AS distance FROM m a JOIN m b USING (c) JOIN n x ON x.r = a.r JOIN n y ON y.r = b.r GROUP BY a.r, b.r")
@@ -311,15 +312,41 @@ def sparse_cosine(spark, d):
     return rounded(m.distances(m, "cosine"), ["distance"])
 
 
-@register("sparse_column_sums", f"{_MATRIX} SELECT c AS \"column\", sum(v) AS sum, round(sum(v) / 201, 6) AS mean, count(*) FILTER (v <> 0) AS nnz FROM m GROUP BY c")
+for _metric, _sum in {"euclidean": "sqrt(sum((x - y) ** 2))", "manhattan": "sum(abs(x - y))"}.items():
+
+    @register(f"sparse_{_metric}", f"""{_MATRIX}, i AS (SELECT unnest(range((SELECT k FROM k))) AS i),
+    f AS (SELECT i.i AS r, c.c, coalesce(m.v, 0) AS v FROM i CROSS JOIN (SELECT unnest(range(24)) AS c) c LEFT JOIN m ON m.r = i.i AND m.c = c.c)
+    SELECT query, row, round({_sum}, 4) + 0.0 AS distance FROM (SELECT a.r AS query, b.r AS row, a.v AS x, b.v AS y FROM f a JOIN f b USING (c)) GROUP BY query, row""")
+    def sparse_distance(spark, d, metric=_metric):
+        m = _matrix(spark, d)
+        return rounded(m.distances(m, metric), ["distance"], 4)
+
+
+@register("sparse_column_sums", f"{_MATRIX} SELECT c AS \"column\", round(sum(v), 4) AS sum, round(sum(v) / any_value(k), 6) AS mean, count(*) FILTER (v <> 0) AS nnz FROM m, k GROUP BY c")
 def sparse_column_sums(spark, d):
-    return rounded(_matrix(spark, d).column_sums(), ["mean"])
+    return rounded(rounded(_matrix(spark, d).column_sums(), ["mean"]), ["sum"], 4)
 
 
-@register("sparse_vstack", f"{_MATRIX} SELECT r AS row, c AS \"column\", v AS value FROM m UNION ALL SELECT r + 201, c, v FROM m")
+@register("sparse_vstack", f"{_MATRIX} SELECT r AS row, c AS \"column\", round(v, 6) AS value FROM m UNION ALL SELECT r + k, c, round(v, 6) FROM m, k")
 def sparse_vstack(spark, d):
     m = _matrix(spark, d)
-    return m.vstack(m).df
+    return rounded(m.vstack(m).df, ["value"])
+
+
+@register("sparse_hstack", f"{_MATRIX} SELECT r AS row, c AS \"column\", round(v, 6) AS value FROM m UNION ALL SELECT r, c + 24, round(v, 6) FROM m")
+def sparse_hstack(spark, d):
+    m = _matrix(spark, d)
+    return rounded(m.hstack(m).df, ["value"])
+
+
+@register("sparse_eye_diag", f"{_MATRIX} SELECT r AS row, c AS \"column\", round(v * (c + 1), 6) AS value FROM m")
+def sparse_eye_diag(spark, d):
+    return rounded(_matrix(spark, d).dot(X.sparse_eye(spark, 24)).dot(X.sparse_diag(spark, [i + 1.0 for i in range(24)])).df, ["value"])
+
+
+@register("sparse_info", f"{_MATRIX} SELECT count(*) AS nnz, round(count(*) / any_value(k * 24.0::DOUBLE), 8) AS density, count(*) / any_value(k * 24.0::DOUBLE) > 0.5 AS dense_is_better FROM m, k")
+def sparse_info(spark, d):
+    return rounded(_matrix(spark, d).info(), ["density"], 8)
 
 
 @register("sparse_normalized", f"{_MATRIX} SELECT r AS row, c AS \"column\", round(v / sqrt(sum(v * v) OVER (PARTITION BY r)), 6) AS value FROM m")

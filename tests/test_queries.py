@@ -9,7 +9,7 @@ from tessella.plans import catalogue
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"calibrated_cv", "automl", "adaboost_classifier", "adaboost_regressor", "random_forest", "extra_trees", "robust_andrews", "robust_bisquare", "perceptron", "passive_aggressive"}
+
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
 
@@ -37,7 +37,7 @@ def test_matches_sql(spark, duck, name):
     assert plain(df.collect(), df.columns) == plain(result.fetchall(), names)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_runs(spark, name):
     df = catalogue.queries()[name](spark, DATA)
     assert df.columns and df.count() > 0
