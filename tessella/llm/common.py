@@ -37,10 +37,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, path: str | None = None) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back: lineage ends there."""
+def stage(df: DataFrame, name: str, path: str | None = None, few: bool = False) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it back: lineage ends there.
+
+    With ``few`` it is written by at most two tasks a core, where shuffle partitions are
+    many and rows of a few bytes would lie in as many files.
+    """
     spark = df.sparkSession
     path = path or fresh_path(spark, name)
+    if few:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -289,16 +289,17 @@ def _one_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows (node, root): the least node of each node's component, for all nodes in links.
+    """Rows (node, root): the least node of each node's component, for all nodes in the stored table ``links``.
 
     Links of a checked small number are joined in one task. Beyond it, alternating large-star and small-star rounds run, each written to the shared folder; a hub's
     least neighbour is a map-side minimum, and its links are a plain join that adaptive
     execution may split.
     """
     spark = links.sparkSession
-    edges, path = stage(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "links")
+    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")
     if edges.count() <= ONE_TASK_LINKS:
         return edges.repartition(1).mapInArrow(_one_forest, "node long, root long")
+    edges, path = stage(edges.distinct(), "links")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -320,13 +321,13 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 def simhash_components(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, bits, component_id) of all documents; bits is the fingerprint as a signed long."""
     prints, _ = stage(only(docs, "doc_id", "text").mapInArrow(_fingerprints, "doc_id long, bits long"), "fingerprints")
-    classes, _ = stage(prints.groupBy("bits").agg(F.min("doc_id").alias("first_id")), "classes")
-    links, links_path = stage(near_pairs(classes.withColumn("round", F.lit(0)), classes.count()), "near-pairs")
+    classes, _ = stage(prints.groupBy("bits").agg(F.min("doc_id").alias("first_id")), "classes", few=True)
+    links, links_path = stage(near_pairs(classes.withColumn("round", F.lit(0)), classes.count()), "near-pairs", few=True)
     roots = components(links, "a", "b").withColumnRenamed("node", "bits")
     rooted = classes.join(roots, "bits", "left").select("bits", "first_id", F.coalesce("root", "bits").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     # plain tables on both sides, so that adaptive execution can split a fingerprint of very many rows
-    named, _ = stage(rooted.join(least, "root").select("bits", "component_id"), "named-classes")
+    named, _ = stage(rooted.join(least, "root").select("bits", "component_id"), "named-classes", few=True)
     remove(docs.sparkSession, links_path)
     return prints.join(named, "bits").select("doc_id", "bits", "component_id")
 
@@ -425,15 +426,15 @@ def candidates(classes: DataFrame, rounds: int, distance: int = NEAR) -> DataFra
     ``classes`` holds rows (node, prints) with the fingerprints of all rounds, then the bands' keys.
     """
     entries = classes.select("node", "prints").mapInArrow(_entries, "round int, bits long, node long")
-    firsts, firsts_path = stage(entries.groupBy("round", "bits").agg(F.min("node").alias("first"), F.max("node").alias("last")), "several-firsts")
+    firsts, firsts_path = stage(entries.groupBy("round", "bits").agg(F.min("node").alias("first"), F.max("node").alias("last")), "several-firsts", few=True)
     balls = firsts.filter(F.col("round") < rounds)
-    pairs, pairs_path = stage(near_pairs(balls, balls.count(), rounds, distance), "near-pairs")
+    pairs, pairs_path = stage(near_pairs(balls, balls.count(), rounds, distance), "near-pairs", few=True)
     one = lambda c, name: balls.select("round", F.col("bits").alias(c), F.col("first").alias(name))
     between = pairs.join(one("a", "x"), ["round", "a"]).join(one("b", "y"), ["round", "b"]).select("x", "y")
     # nodes with the same fingerprint or key
     same = firsts.filter("first <> last").select("round", "bits", "first")
     inside = entries.join(same, ["round", "bits"]).select(F.col("node").alias("x"), F.col("first").alias("y"))
-    found, _ = stage(between.unionByName(inside).filter("x <> y").distinct(), "candidate-links")
+    found, _ = stage(between.unionByName(inside).filter("x <> y").distinct(), "candidate-links", few=True)
     remove(classes.sparkSession, firsts_path, pairs_path)
     release_shuffles(classes.sparkSession)
     return found
@@ -514,26 +515,26 @@ def verified(members: DataFrame, together: int = TOGETHER) -> DataFrame:
     size = members.count()
     sizes = members.groupBy("root").count()
     blocks = F.ceil(F.col("count") / together).cast("int")
-    large, _ = stage(sizes.filter(F.col("count") > together).select("root", blocks.alias("blocks")), "large-groups")
+    large, _ = stage(sizes.filter(F.col("count") > together).select("root", blocks.alias("blocks")), "large-groups", few=True)
     small = members.join(large, "root", "left_anti").withColumn("part", F.lit(0))
-    links, _ = stage(_compare(small, size), "copy-links")
+    links, _ = stage(_compare(small, size), "copy-links", few=True)
     if not large.limit(1).count():
         return links
     dealt = members.join(large, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     heads = dealt.filter("node = root").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = dealt.unionByName(heads).withColumn("part", F.col("block"))
-    first, _ = stage(_compare(own, size), "block-links")
+    first, _ = stage(_compare(own, size), "block-links", few=True)
     # whose component in a block holds the root needs no more comparison with its like
     linked = components(first, "x", "y").select("node", F.col("root").alias("least"))
     of_root = linked.join(large.select(F.col("root").alias("node")), "node").select("least").distinct()
-    loose, _ = stage(dealt.join(linked.join(of_root, "least").select("node"), "node", "left_anti").filter("node <> root"), "loose")
+    loose, _ = stage(dealt.join(linked.join(of_root, "least").select("node"), "node", "left_anti").filter("node <> root"), "loose", few=True)
     n_loose = loose.groupBy("root").count().select("root", F.ceil(F.col("count") / together).cast("int").alias("lots"))
     lot = F.pmod(F.xxhash64(F.col("node"), F.lit(1)), F.col("lots")).cast("int")
     ours = loose.join(n_loose, "root").withColumn("lot", lot).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     theirs = dealt.join(n_loose, "root").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
     across = ours.select("root", "node", "shingles", "lot", "block", "blocks").unionByName(theirs.select("root", "node", "shingles", "lot", "block", "blocks"))
-    second, _ = stage(_compare(across.withColumn("part", F.col("lot") * F.col("blocks") + F.col("block")), size), "loose-links")
-    return links.unionByName(first).unionByName(second).filter("x <> y").distinct()
+    second, _ = stage(_compare(across.withColumn("part", F.col("lot") * F.col("blocks") + F.col("block")), size), "loose-links", few=True)
+    return links.unionByName(first).unionByName(second)
 
 
 def _free(names: list[str], wanted: str) -> str:
@@ -561,22 +562,22 @@ def near_dedup(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     keyed = docs.select(F.col("`doc_id`").alias("doc_id"), digest.alias("digest"), F.col("`text`").alias("text"))
     prints, prints_path = stage(keyed.mapInArrow(_several(rounds), "doc_id long, digest long, node long, prints binary"), "several-fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
-    classes, classes_path = stage(prints.groupBy("node").agg(F.min(order).alias("first"), F.first("prints").alias("prints"), F.count("*").alias("n")), "classes")
-    groups, _ = stage(components(candidates(classes, rounds), "x", "y"), "candidate-groups")
+    classes, classes_path = stage(prints.groupBy("node").agg(F.min(order).alias("first"), F.first("prints").alias("prints"), F.count("*").alias("n")), "classes", few=True)
+    groups, _ = stage(components(candidates(classes, rounds), "x", "y"), "candidate-groups", few=True)
     # one text a node: that of its first row
     asked = groups.join(classes, "node").select("root", "node", F.col("first.doc_id").alias("own_id"), F.col("first.digest").alias("own_digest"))
     asked = F.broadcast(asked) if groups.count() <= BROADCAST_IDS else asked
     meets = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest"))
     texts = keyed.join(asked, meets).select("root", "node", "text")
-    members, members_path = stage(texts.mapInArrow(_members, "root long, node long, shingles binary").dropDuplicates(["root", "node"]), "candidate-texts")
-    copies, _ = stage(components(verified(members), "x", "y"), "copies")
+    members, members_path = stage(texts.mapInArrow(_members, "root long, node long, shingles binary").dropDuplicates(["root", "node"]), "candidate-texts", few=True)
+    copies, _ = stage(components(verified(members), "x", "y"), "copies", few=True)
     group = F.coalesce("root", classes.node)
     whole = classes.join(copies, "node", "left").select("node", group.alias("group"), "first", "n")
     firsts = whole.groupBy("group").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
     # what goes: rows of groups of two and more that aren't their group's first, and rows that repeat a first
-    several, _ = stage(whole.join(firsts.filter("n > 1").withColumnRenamed("first", "stays").drop("n"), "group").select("node", "stays"), "several-rows")
+    several, _ = stage(whole.join(firsts.filter("n > 1").withColumnRenamed("first", "stays").drop("n"), "group").select("node", "stays"), "several-rows", few=True)
     rows = prints.join(several, "node").withColumn("first", order == F.col("stays"))
-    keys, _ = stage(rows.groupBy("doc_id", "digest", "first").agg(F.count("*").alias("n")), "row-keys")
+    keys, _ = stage(rows.groupBy("doc_id", "digest", "first").agg(F.count("*").alias("n")), "row-keys", few=True)
     remove(spark, members_path)
     names = docs.columns
     extra = [_free(names, x) for x in ("key_id", "own_digest", "key_digest")]
