@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.errors import InvalidInput
 from tessella.frame import in_order, with_previous
-from tessella.operators.pairs import reduce_pairs, sums_by_label
+from tessella.operators.pairs import ends_by_label, reduce_pairs, sums_by_label
 
 
 def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -182,10 +182,10 @@ def cluster_separation(df: DataFrame, row_id: str, vector: str, label: str) -> D
 
 def dunn_index(df: DataFrame, row_id: str, vector: str, label: str) -> DataFrame:
     """One row: least distance between clusters over the greatest within one."""
-    a = df.filter(F.col(label) != -1).select(F.col(row_id).alias("i"), F.col(vector).alias("u"), F.col(label).alias("k"))
-    b = a.select(F.col("i").alias("j"), F.col("u").alias("v"), F.col("k").alias("l"))
-    d = a.join(b, F.col("i") < F.col("j")).select((F.col("k") == F.col("l")).alias("same"), _array_distance("u", "v").alias("d"))
-    return d.agg(F.try_divide(F.min(F.when(~F.col("same"), F.col("d"))), F.max(F.when(F.col("same"), F.col("d")))).alias("dunn"))
+    rows = df.filter(F.col(label) != -1)
+    ends = reduce_pairs(rows, rows, ends_by_label(), "least double, most double", row_id, vector, label)
+    least, most = F.min(F.when(F.col("least") < float("inf"), F.col("least"))), F.max(F.when(F.col("most") >= 0, F.col("most")))
+    return ends.agg(F.try_divide(least, most).alias("dunn"))
 
 
 def calibration_curve(df: DataFrame, y: str, prob: str, bins: int = 10) -> DataFrame:

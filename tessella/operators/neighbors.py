@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.errors import InvalidInput
+from tessella.frame import in_order
 from tessella.operators.pairs import nearest, reduce_pairs
+from tessella.operators.splits import within_class
 
 
 def distance(a: Column, b: Column, metric: str = "euclidean", p: float = 2.0) -> Column:
@@ -171,24 +173,22 @@ def target_counts(df: DataFrame, label: str, strategy: str | float | dict = "aut
 def random_under_sample(df: DataFrame, label: str, row_id: str = "id", strategy="auto", seed: int = 0) -> DataFrame:
     """The first rows of each class in hashed order, up to its target."""
     goal = target_counts(df, label, strategy, under=True)
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(row_id, F.lit(seed)), row_id))
+    placed = within_class(df, label, [F.xxhash64(row_id, F.lit(seed)), row_id], "__r")
     keep = F.lit(False)
     for c, k in goal.items():
-        keep = keep | ((F.col(label) == F.lit(c)) & (F.col("__r") <= k))
-    return df.withColumn("__r", rank).filter(keep).drop("__r")
+        keep = keep | ((F.col(label) == F.lit(c)) & (F.col("__r") < k))
+    return placed.filter(keep).select(*df.columns)
 
 
 def random_over_sample(df: DataFrame, label: str, row_id: str = "id", strategy="auto", seed: int = 0) -> DataFrame:
     """Copies of rows in hashed order until each class has its target; column ``copy`` is 0 for originals."""
     goal = target_counts(df, label, strategy)
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(F.xxhash64(row_id, F.lit(seed)), row_id)) - 1
+    placed = within_class(df, label, [F.xxhash64(row_id, F.lit(seed)), row_id], "__r")
     want = F.lit(0)
     for c, k in goal.items():
         want = F.when(F.col(label) == F.lit(c), k).otherwise(want)
-    n = F.count("*").over(w)
-    times = F.floor(want / n) + F.when(rank < want % n, 1).otherwise(0)
-    return df.withColumn("__t", F.greatest(times, F.lit(1)).cast("int")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__t") - 1))).drop("__t")
+    times = F.floor(want / F.col("__n")) + F.when(F.col("__r") < want % F.col("__n"), 1).otherwise(0)
+    return placed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(times, F.lit(1)).cast("int") - 1))).select(*df.columns, "copy")
 
 
 def smote(df: DataFrame, label: str, row_id: str = "id", vec: str = "vector", k: int = 5, strategy="auto", seed: int = 0, weights: DataFrame | None = None) -> DataFrame:
@@ -208,7 +208,7 @@ def smote(df: DataFrame, label: str, row_id: str = "id", vec: str = "vector", k:
         base = own if weights is None else own.join(weights, row_id)
         near = neighbors(base, own, min(k, n[c] - 1), row_id, vec, exclude_self=True)
         order = [F.xxhash64(row_id, F.lit(seed))] if weights is None else [F.desc(F.col("weight") / (F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(1 << 20)) + 1))]
-        numbered = base.select(F.col(row_id).alias("query"), F.col(vec).alias("__u"), (F.row_number().over(Window.orderBy(*order, row_id)) - 1).alias("__i"), F.count("*").over(Window.partitionBy()).alias("__n"))
+        numbered = in_order(base, [*order, row_id]).select(F.col(row_id).alias("query"), F.col(vec).alias("__u"), "__i", F.lit(base.count()).alias("__n"))
         chosen = numbered.filter(F.col("__i") < extra).withColumn("__s", F.explode(F.sequence(F.lit(0), F.floor((F.lit(extra - 1) - F.col("__i")) / F.col("__n")).cast("int"))))
         chosen = chosen.withColumn("rank", (F.pmod(F.xxhash64("query", "__s", F.lit(seed)), F.lit(min(k, n[c] - 1))) + 1).cast("int"))
         u = F.pmod(F.xxhash64("query", "__s", F.lit(seed + 1)), F.lit(1 << 40)) / float(1 << 40)

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from tessella.errors import InvalidInput
 from tessella.frame import settled
 
-#: Rows of a block, and numbers that a step of a distance computation holds.
-BLOCK, STEP = 4096, 1 << 22
+#: Rows of a block, query blocks that a task holds, and numbers that a step of a distance computation holds.
+BLOCK, GROUP, STEP = 4096, 8, 1 << 22
 
 #: (ids, vectors, labels) of queries and of rows to columns of the result.
 Reduce = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]]
@@ -39,7 +39,7 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean", p: float
     return out
 
 
-def _blocks(df: DataFrame, row_id: str, vec: str, label: str | None, prefix: str) -> DataFrame:
+def _blocks(df: DataFrame, row_id: str, vec: str, label: str | None) -> DataFrame:
     rows = df.select(F.col(row_id).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), (F.col(label).cast("long") if label else F.lit(0).cast("long")).alias("y")).filter("v IS NOT NULL AND id IS NOT NULL")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +49,7 @@ def _blocks(df: DataFrame, row_id: str, vec: str, label: str | None, prefix: str
         def row() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
             column = lambda c: table.column(c).chunk(0)
-            return pa.RecordBatch.from_pydict({f"{prefix}{k}": pa.array([x], pa.binary()) for k, x in (("id", column("id").to_numpy().tobytes()), ("v", column("v").values.to_numpy(zero_copy_only=False)[column("v").offsets[0].as_py() : column("v").offsets[-1].as_py()].tobytes()), ("y", column("y").to_numpy(zero_copy_only=False).tobytes()))})
+            return pa.RecordBatch.from_pydict({k: pa.array([x], pa.binary()) for k, x in (("id", column("id").to_numpy().tobytes()), ("v", column("v").values.to_numpy(zero_copy_only=False)[column("v").offsets[0].as_py() : column("v").offsets[-1].as_py()].tobytes()), ("y", column("y").to_numpy(zero_copy_only=False).tobytes()))})
 
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
@@ -64,28 +64,42 @@ def _blocks(df: DataFrame, row_id: str, vec: str, label: str | None, prefix: str
 
     n = rows.count()
     dealt = rows.repartition(max(1, -(-n // BLOCK)))
-    return dealt.mapInArrow(pack, f"{prefix}id binary, {prefix}v binary, {prefix}y binary")
+    return settled(dealt.mapInArrow(pack, "id binary, v binary, y binary").withColumn("part", F.spark_partition_id()))
 
 
 def reduce_pairs(queries: DataFrame, rows: DataFrame, function: Reduce, schema: str, row_id: str, vec: str, label: str | None = None) -> DataFrame:
-    """What ``function`` gives for every block of queries with every block of rows."""
-    left = settled(_blocks(queries, row_id, vec, label, "q").withColumn("qn", F.monotonically_increasing_id()))
-    right = settled(_blocks(rows, row_id, vec, label, "r").withColumn("rn", F.monotonically_increasing_id()))
-    # numbers of blocks meet first, so that the blocks themselves are dealt evenly
-    grid = left.select("qn").join(right.select("rn"), F.lit(True))
-    pairs = grid.join(left, "qn").join(right, "rn")
-    tasks = max(queries.sparkSession.sparkContext.defaultParallelism, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """What ``function`` gives for every block of queries with every block of rows.
+
+    A task holds a group of query blocks and reads a group of row blocks one by one, so a
+    block of rows is sent once for each group of queries, not for each block.
+    """
+    left, right = _blocks(queries, row_id, vec, label), _blocks(rows, row_id, vec, label)
+    n_left, n_right = max(1, left.count()), max(1, right.count())
+    spark = queries.sparkSession
+    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    q_groups = min(n_left, max(-(-n_left // GROUP), int((2 * cores) ** 0.5)))
+    r_groups = min(n_right, -(-2 * cores // q_groups))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asks = left.withColumn("kind", F.lit(0)).withColumn("i", F.pmod("part", F.lit(q_groups))).withColumn("j", every(r_groups))
+    gives = right.withColumn("kind", F.lit(1)).withColumn("j", F.pmod("part", F.lit(r_groups))).withColumn("i", every(q_groups))
+    columns = [(F.col("i").cast("long") * r_groups + F.col("j")).alias("task"), "kind", "id", "v", "y"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = None
+        now, asked = None, []
         for batch in batches:
-            for parts in zip(*(batch.column(i) for i in range(6))):
-                qi, qv, qy, ri, rv, ry = (np.frombuffer(x.as_buffer(), "<f8" if k in (1, 4) else "<i8") for k, x in enumerate(parts))
-                found = function(qi, qv.reshape(len(qi), -1), qy, ri, rv.reshape(len(ri), -1), ry)
-                names = names or list(found)
-                yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in found.items()})
+            for task, kind, *raw in zip(*(batch.column(i) for i in range(5))):
+                if task.as_py() != now:
+                    now, asked = task.as_py(), []
+                ids, v, y = (np.frombuffer(x.as_buffer(), "<f8" if k == 1 else "<i8") for k, x in enumerate(raw))
+                if not kind.as_py():  # a task's queries come first
+                    asked.append((ids.copy(), v.reshape(len(ids), -1).copy(), y.copy()))
+                    continue
+                for qi, qv, qy in asked:
+                    found = function(qi, qv, qy, ids, v.reshape(len(ids), -1), y)
+                    yield pa.RecordBatch.from_pydict({k: pa.array(x) for k, x in found.items()})
 
-    return pairs.repartition(tasks, "qn", "rn").select("qid", "qv", "qy", "rid", "rv", "ry").mapInArrow(each, schema)
+    dealt = asks.select(columns).unionByName(gives.select(columns)).repartitionByRange(q_groups * r_groups, "task")
+    return dealt.sortWithinPartitions("task", "kind").mapInArrow(each, schema)
 
 
 def nearest(k: int, metric: str = "euclidean", exclude_self: bool = False, p: float = 2.0) -> Reduce:
@@ -136,6 +150,22 @@ def sums_by_label(metric: str = "euclidean") -> Reduce:
     return reduce
 
 
+def ends_by_label(metric: str = "euclidean") -> Reduce:
+    """One row a pair of blocks: the least distance between labels and the greatest within one (infinite and -1 where there is none)."""
+
+    def reduce(qi, qv, qy, ri, rv, ry):
+        least, most = np.inf, -1.0
+        step = max(1, STEP // max(1, len(ri)))
+        for at in range(0, len(qi), step):
+            d = distances(qv[at : at + step], rv, metric)
+            same = qy[at : at + step, None] == ry[None]
+            least = min(least, float(d[~same].min(initial=np.inf)))
+            most = max(most, float(d[same & (qi[at : at + step, None] != ri[None])].max(initial=-1.0)))
+        return {"least": np.array([least]), "most": np.array([most])}
+
+    return reduce
+
+
 def within(eps: float, metric: str = "euclidean") -> Reduce:
     """(i, j): pairs at a distance of at most eps."""
 

@@ -28,13 +28,19 @@ def repeated_kfold(df: DataFrame, k: int, repeats: int, order: Sequence[str], se
     return _union(kfold(df, k, order, seed=seed + r).withColumn("repeat", F.lit(r)) for r in range(repeats))
 
 
+def within_class(df: DataFrame, label: str, order: Sequence, place: str = "__i", size: str = "__n") -> DataFrame:
+    """Each row's place from 0 in its class and the class's size; no window holds a class beyond the bound of in_order."""
+    sizes = df.groupBy(F.col(label).alias("__c")).agg(F.count("*").alias(size))
+    before = F.sum(size).over(Window.orderBy(F.col("__c").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("__c", size, F.coalesce(before, F.lit(0)).alias("__a"))
+    numbered = in_order(df, [F.col(label).asc_nulls_first(), *order], place)
+    placed = numbered.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("__c")))  # one row a class
+    return placed.withColumn(place, F.col(place) - F.col("__a")).drop("__c", "__a")
+
+
 def stratified_kfold(df: DataFrame, k: int, label: str, order: Sequence[str], name: str = "fold", seed: int | None = None) -> DataFrame:
     """Round-robin within each class."""
-    # the place within a class is the place in the order by class, less where the class begins
-    starts = df.groupBy(F.col(label).alias("__c")).agg(F.count("*").alias("__n"))
-    starts = starts.select("__c", F.coalesce(F.sum("__n").over(Window.orderBy(F.col("__c").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__n"))
-    numbered = in_order(df, [F.col(label).asc_nulls_first(), *_seeded(order, seed)])
-    return numbered.join(F.broadcast(starts), F.col(label).eqNullSafe(F.col("__c"))).withColumn(name, ((F.col("__i") - F.col("__n")) % k).cast("int")).drop("__i", "__c", "__n")  # one row a class
+    return within_class(df, label, _seeded(order, seed)).withColumn(name, (F.col("__i") % k).cast("int")).drop("__i", "__n")
 
 
 def repeated_stratified_kfold(df: DataFrame, k: int, repeats: int, label: str, order: Sequence[str], seed: int = 0) -> DataFrame:
@@ -47,12 +53,8 @@ def train_test_split(df: DataFrame, test_size: float, order: Sequence[str], stra
     Test rows are the first of the order, or of a hashed order with a seed.
     """
     label = F.col(f"`{stratify}`") if stratify else F.lit(0)
-    sizes = df.groupBy(label.alias("__c")).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy(F.col("__c").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("__c", F.coalesce(before, F.lit(0)).alias("__a"), F.ceil(F.col("__n") * test_size - 1e-9).alias("__t"))
-    numbered = in_order(df.withColumn("__l", label), [F.col("__l").asc_nulls_first(), *_seeded(order, seed)])
-    placed = numbered.join(F.broadcast(sizes), F.col("__l").eqNullSafe(F.col("__c")))  # one row a class
-    test = F.col("__i") - F.col("__a") < F.col("__t")
+    placed = within_class(df.withColumn("__l", label), "__l", _seeded(order, seed))
+    test = F.col("__i") < F.ceil(F.col("__n") * test_size - 1e-9)
     return placed.filter(~test).select(*df.columns), placed.filter(test).select(*df.columns)
 
 
