@@ -38,11 +38,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.bwt import Strings, merge_intervals
-from tessella.llm.common import only, partitions, release_shuffles, remove, stage
+from tessella.llm.common import only, release_shuffles, remove, stage
 
 LENGTH, ANCHOR = 50, 25
 #: Bytes of a pack of texts, of the strings merged at once, and of a shard.
 PACK, CELL, SHARD = 2 << 20, 512 << 10, 128 << 10
+#: Buckets that a pack deals to at least; more only where the bytes of one would be too many for a task.
+BUCKETS = 64
 #: Window starts that anchors are found for at once; positions take 20 bits.
 _SEGMENT = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
@@ -421,7 +423,6 @@ def digest_of(text: str) -> Column:
 def distinct_removals(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per distinct text: digest, first_id, n_removed, n_spans, kept_sha256 and kept (what is left, or null)."""
     spark = docs.sparkSession
-    n = partitions(spark)
     rows = only(docs, "doc_id", "text").filter("doc_id IS NOT NULL").withColumn("text", F.coalesce("text", F.lit("")))
     once = rows.groupBy(digest_of("text").alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
     packs, packs_path = stage(once.mapInArrow(_pack(PACK), "pack long, digests array<string>, ids array<long>, sizes array<long>, text binary"), "packs")
@@ -430,7 +431,7 @@ def distinct_removals(docs: DataFrame, with_text: bool = False) -> DataFrame:
     size = packs.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
 
     # near 7 bytes for each of 13 bytes of text; a bucket takes some 16 MB
-    buckets = max(n, -(-size * 6 // 10 // (16 << 20)))
+    buckets = max(BUCKETS, -(-size * 6 // 10 // (16 << 20)))
     blobs = packs.select("pack", "sizes", "text").mapInArrow(_anchors(buckets), "bucket int, pack long, blob binary")
     found = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(COMMON), "pack long, shared binary")
     shared, shared_path = stage(found, "shared-anchors")
@@ -439,7 +440,7 @@ def distinct_removals(docs: DataFrame, with_text: bool = False) -> DataFrame:
     n_shared = (shared.agg(F.sum(F.octet_length("shared"))).first()[0] or 0) // 8
 
     # near 80 bytes a string; a bucket takes some 8 MB
-    buckets = max(n, -(-n_shared * 80 // (8 << 20)))
+    buckets = max(BUCKETS, -(-n_shared * 80 // (8 << 20)))
     wanted = shared.groupBy("pack").agg(F.collect_list("shared").alias("shared"))
     made = packs.select("pack", "ids", "sizes", "text").join(wanted, "pack").mapInArrow(_strings(buckets), "bucket int, pack long, blob binary")
     strings, strings_path = stage(made, "strings")

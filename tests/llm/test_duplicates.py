@@ -212,6 +212,7 @@ def passages(seed):
 def test_repeats_match_brute_force(spark, seed, common, monkeypatch):
     rows = passages(seed)
     monkeypatch.setattr(repeats, "PACK", 3000)
+    monkeypatch.setattr(repeats, "BUCKETS", 5)
     monkeypatch.setattr(repeats, "COMMON", common)
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(map(repr, map(tuple, repeats.repeated_passages(table).collect()))) == sorted(map(repr, brute_repeats(rows)))
@@ -245,6 +246,14 @@ def test_long_texts_go_in_segments(monkeypatch):
     assert anchors(whole) == anchors(parts) and len(anchors(whole)) == 4951
 
 
+def test_distribution_is_the_stable_order():
+    rng = np.random.default_rng(0)
+    for most in (1, 300, 1 << 16, 1 << 20):
+        x = rng.integers(0, most, 5000)
+        assert (bwt.distribute(x) == np.argsort(x, kind="stable")).all()
+    assert len(bwt.distribute(np.zeros(0, np.int64))) == 0
+
+
 @pytest.mark.parametrize("shard", [200, 900, 100_000])
 def test_merged_intervals(shard):
     rng = random.Random(shard)
