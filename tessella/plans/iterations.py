@@ -236,33 +236,84 @@ SQL["ensemble_selection"] = rounds(
 )
 
 
-def _tree(depth: int, columns: Sequence[str], stats: dict[str, str], score: str, least: str, end: str, source: str = "lineitem", extra: str = "") -> str:
-    """A tree grown level by level: each row's node, every cut's gain, the best split of each node.
+def _grown(prefix: str, source: str, depth: int, columns: Sequence[str], names: Sequence[str], score: str, least: int) -> tuple[list[str], str]:
+    """Table expressions that grow a tree level by level over ``source``, and the last, whose ``node`` is each row's leaf.
 
-    ``score`` is what a split should raise, over {p}n and {p}<stat> of a part; cuts are
-    midpoints of a column's distinct values, ties go to the earlier column, then cut.
+    ``score`` is what a split should raise, over {p}<stat> of a part, the first stat being
+    its rows; cuts are midpoints of a column's distinct values, ties go to the earlier
+    column, then cut.
     """
-    made = ", ".join(f"({x})::DOUBLE AS {s}" for s, x in stats.items())
-    parts = [f"t0 AS MATERIALIZED (SELECT 1 AS node, {', '.join(columns)}, {made}{extra} FROM {source})"]
-    parts += [f"c{j} AS MATERIALIZED (SELECT v, lead(v) OVER (ORDER BY v) AS w FROM (SELECT DISTINCT {c} AS v FROM t0))" for j, c in enumerate(columns)]
-    names = list(stats)
+    t = lambda k: f"{prefix}t{k}"
+    parts = [f"{t(0)} AS MATERIALIZED (SELECT 1 AS node, * FROM ({source}))"]
+    parts += [f"{prefix}c{j} AS MATERIALIZED (SELECT v, lead(v) OVER (ORDER BY v) AS w FROM (SELECT DISTINCT {c} AS v FROM {t(0)}))" for j, c in enumerate(columns)]
     for level in range(depth):
         each = []
         for j, c in enumerate(columns):
             running = ", ".join(f"sum({s}) OVER o AS l{s}, sum({s}) OVER (PARTITION BY node) AS w{s}" for s in names)
-            g = f"SELECT node, {c} AS v, {', '.join(f'sum({s}) AS {s}' for s in names)} FROM t{level} GROUP BY node, {c}"
+            g = f"SELECT node, {c} AS v, {', '.join(f'sum({s}) AS {s}' for s in names)} FROM {t(level)} GROUP BY node, {c}"
             # a cut between values that a node lacks counts too, so every cut is tried
-            full = f"SELECT m.node, k.v, k.w, {', '.join(f'coalesce(g.{s}, 0) AS {s}' for s in names)} FROM (SELECT DISTINCT node FROM t{level}) m CROSS JOIN c{j} k LEFT JOIN ({g}) g ON g.node = m.node AND g.v = k.v"
+            full = f"SELECT m.node, k.v, k.w, {', '.join(f'coalesce(g.{s}, 0) AS {s}' for s in names)} FROM (SELECT DISTINCT node FROM {t(level)}) m CROSS JOIN {prefix}c{j} k LEFT JOIN ({g}) g ON g.node = m.node AND g.v = k.v"
             each.append(f"SELECT node, {j} AS feature, v, (v + w) / 2 AS cut, {', '.join(f'l{s}, w{s} - l{s} AS r{s}, w{s}' for s in names)} FROM (SELECT *, {running} FROM ({full}) WINDOW o AS (PARTITION BY node ORDER BY v)) WHERE w IS NOT NULL")
         gain = f"{score.replace('{p}', 'l')} + {score.replace('{p}', 'r')} - ({score.replace('{p}', 'w')})"
-        parts.append(f"g{level} AS MATERIALIZED (SELECT node, feature, cut, {gain} AS gain FROM ({' UNION ALL '.join(each)}) WHERE l{names[0]} >= {least} AND r{names[0]} >= {least})")
-        parts.append(f"f{level} AS MATERIALIZED (SELECT node, feature, cut, gain FROM (SELECT *, row_number() OVER (PARTITION BY node, feature ORDER BY gain DESC, cut) AS k FROM g{level}) WHERE k = 1 AND gain > 1e-12)")
-        parts.append(f"b{level} AS MATERIALIZED (SELECT node, feature, cut FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(gain, 9) DESC, feature) AS k FROM f{level}) WHERE k = 1)")
+        g, f, best = (f"{prefix}{x}{level}" for x in "gfb")
+        parts.append(f"{g} AS MATERIALIZED (SELECT node, feature, cut, {gain} AS gain FROM ({' UNION ALL '.join(each)}) WHERE l{names[0]} >= {least} AND r{names[0]} >= {least})")
+        parts.append(f"{f} AS MATERIALIZED (SELECT node, feature, cut, gain FROM (SELECT *, row_number() OVER (PARTITION BY node, feature ORDER BY gain DESC, cut) AS k FROM {g}) WHERE k = 1 AND gain > 1e-12)")
+        parts.append(f"{best} AS MATERIALIZED (SELECT node, feature, cut FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(gain, 9) DESC, feature) AS k FROM {f}) WHERE k = 1)")
         at = "CASE b.feature " + " ".join(f"WHEN {j} THEN t.{c}" for j, c in enumerate(columns)) + " END"
-        parts.append(f"t{level + 1} AS MATERIALIZED (SELECT t.* REPLACE (CASE WHEN b.node IS NULL THEN t.node * 1000 WHEN {at} <= b.cut THEN 2 * t.node ELSE 2 * t.node + 1 END AS node) FROM t{level} t LEFT JOIN b{level} b ON b.node = t.node)")
-    return f"WITH {', '.join(parts)} " + end.replace("{t}", f"t{depth}")
+        parts.append(f"{t(level + 1)} AS MATERIALIZED (SELECT t.* REPLACE (CASE WHEN b.node IS NULL THEN t.node * 1000 WHEN {at} <= b.cut THEN 2 * t.node ELSE 2 * t.node + 1 END AS node) FROM {t(level)} t LEFT JOIN {best} b ON b.node = t.node)")
+    return parts, t(depth)
+
+
+def _tree(depth: int, columns: Sequence[str], stats: dict[str, str], score: str, end: str) -> str:
+    """A tree over the line items; ``end`` reads {t}, the rows with their leaf."""
+    made = ", ".join(f"({x})::DOUBLE AS {s}" for s, x in stats.items())
+    parts, last = _grown("", f"SELECT {', '.join(columns)}, {made} FROM lineitem", depth, columns, list(stats), score, 1)
+    return f"WITH {', '.join(parts)} " + end.replace("{t}", last)
 
 
 _GINI = "2 * ({p}s * {p}s / {p}n + ({p}n - {p}s) * ({p}n - {p}s) / {p}n) / 2"
-SQL["decision_tree"] = _tree(4, _THREE, {"n": "1", "s": f"({BIG})::INT"}, _GINI, "1", "SELECT round(avg(CASE WHEN (p > 0.5) = (s > 0.5) THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM (SELECT s, avg(s) OVER (PARTITION BY node) AS p FROM {t})")
-SQL["decision_tree_regression"] = _tree(3, _THREE, {"n": "1", "s": "l_extendedprice"}, "{p}s * {p}s / {p}n", "1", "SELECT round(avg(s), 3) AS prediction, count(*) AS n, round(avg(s), 3) AS mean FROM {t} GROUP BY node")
+SQL["decision_tree"] = _tree(4, _THREE, {"n": "1", "s": f"({BIG})::INT"}, _GINI, "SELECT round(avg(CASE WHEN (p > 0.5) = (s > 0.5) THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM (SELECT s, avg(s) OVER (PARTITION BY node) AS p FROM {t})")
+SQL["decision_tree_regression"] = _tree(3, _THREE, {"n": "1", "s": "l_extendedprice"}, "{p}s * {p}s / {p}n", "SELECT round(avg(s), 3) AS prediction, count(*) AS n, round(avg(s), 3) AS mean FROM {t} GROUP BY node")
+
+
+def _boosted_squares(n: int, depth: int, rate: float, least: int) -> str:
+    """Rounds of newton trees under squared loss: a leaf moves its rows by -rate * mean gradient."""
+    parts = [f"r0 AS MATERIALIZED (SELECT {', '.join(_THREE)}, l_extendedprice AS y, avg(l_extendedprice) OVER () AS f FROM lineitem)"]
+    for k in range(n):
+        own, last = _grown(f"a{k}", f"SELECT {', '.join(_THREE)}, y, f, 1.0::DOUBLE AS n, f - y AS s FROM r{k}", depth, _THREE, ["n", "s"], "{p}s * {p}s / {p}n", least)
+        parts += [*own, f"r{k + 1} AS MATERIALIZED (SELECT {', '.join(_THREE)}, y, f - {rate}::DOUBLE * avg(s) OVER (PARTITION BY node) AS f FROM {last})"]
+    return f"WITH {', '.join(parts)} SELECT round(corr(f, y), 4) AS r FROM r{n}"
+
+
+SQL["hist_boosting_regression"] = _boosted_squares(5, 3, 0.3, 20)
+
+
+def _boosted_classes(n: int, depth: int, rate: float, least: int) -> str:
+    """Rounds of a newton tree for each class; all trees of a round read the scores before it."""
+    classes = "ANR"
+    f = [f"f{i}" for i in range(3)]
+    start = ", ".join(f"ln(avg((l_returnflag = '{c}')::INT) OVER ()) AS f{i}" for i, c in enumerate(classes))
+    parts = [f"r0 AS MATERIALIZED (SELECT row_number() OVER () AS row, {', '.join(_THREE)}, l_returnflag AS y, {start} FROM lineitem)"]
+    for k in range(n):
+        mass = " + ".join(f"exp({x} - greatest({', '.join(f)}))" for x in f)
+        moved = []
+        for i, c in enumerate(classes):
+            p = f"exp(f{i} - greatest({', '.join(f)})) / ({mass})"
+            source = f"SELECT row, {', '.join(_THREE)}, 1.0::DOUBLE AS n, p - (y = '{c}')::INT AS s, greatest(p * (1 - p), 1e-6) AS h FROM (SELECT *, {p} AS p FROM r{k})"
+            own, last = _grown(f"x{k}{i}", source, depth, _THREE, ["n", "s", "h"], "{p}s * {p}s / ({p}h + 1e-300)", least)
+            parts += [*own, f"v{k}{i} AS MATERIALIZED (SELECT row, -sum(s) OVER (PARTITION BY node) / (sum(h) OVER (PARTITION BY node) + 1e-300) AS v{i} FROM {last})"]
+            moved.append(f"f{i} + {rate}::DOUBLE * v{i} AS f{i}")
+        parts.append(f"r{k + 1} AS MATERIALIZED (SELECT row, {', '.join(_THREE)}, y, {', '.join(moved)} FROM r{k} JOIN v{k}0 USING (row) JOIN v{k}1 USING (row) JOIN v{k}2 USING (row))")
+    return f"WITH {', '.join(parts)} SELECT prediction, count(*) AS count FROM (SELECT CASE WHEN f0 >= f1 AND f0 >= f2 THEN 'A' WHEN f1 >= f2 THEN 'N' ELSE 'R' END AS prediction FROM r{n}) GROUP BY prediction"
+
+
+SQL["hist_boosting_classes"] = _boosted_classes(2, 2, 0.1, 20)
+
+_S = "(covar_pop({0}, {1}) * count(*))"
+_PAIRS = {f"s{i}{j}": _S.format(_THREE[i], _THREE[j]) for i in range(3) for j in range(i, 3)}
+SQL["ols_diagnostics"] = f"""WITH {_solved(_THREE, 0.0, "l_extendedprice")}, s AS (SELECT {", ".join(f"{x} AS {k}" for k, x in _PAIRS.items())}, {", ".join(f"avg({c}) AS c{i}" for i, c in enumerate(_THREE))} FROM lineitem),
+    i AS (SELECT *, s00 * (s11 * s22 - s12 * s12) - s01 * (s01 * s22 - s12 * s02) + s02 * (s01 * s12 - s11 * s02) AS det FROM s),
+    d AS (SELECT l_extendedprice - a - b0 * l_quantity - b1 * l_discount - b2 * l_tax AS e, l_quantity - c0 AS x, l_discount - c1 AS y, l_tax - c2 AS z, n, i.* FROM lineitem, beta, i),
+    h AS (SELECT e, n, 1.0::DOUBLE / n + ((s11 * s22 - s12 * s12) * x * x + (s00 * s22 - s02 * s02) * y * y + (s00 * s11 - s01 * s01) * z * z + 2 * (s02 * s12 - s01 * s22) * x * y + 2 * (s01 * s12 - s02 * s11) * x * z + 2 * (s01 * s02 - s00 * s12) * y * z) / det AS h FROM d),
+    k AS (SELECT h, n, e * e / ((SELECT sum(e * e) FROM h) / (n - 4) * (1 - h)) * h / (1 - h) / 4 AS cook FROM h)
+    SELECT round(sum(h), 6) AS leverage, count(*) FILTER (cook > 4 / n) AS influential, round(max(cook), 6) AS cooks FROM k"""
