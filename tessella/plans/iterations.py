@@ -236,7 +236,7 @@ SQL["ensemble_selection"] = rounds(
 )
 
 
-def _grown(prefix: str, source: str, depth: int, columns: Sequence[str], names: Sequence[str], score: str, least: int) -> tuple[list[str], str]:
+def _grown(prefix: str, source: str, depth: int, columns: Sequence[str], names: Sequence[str], score: str, least: float | str) -> tuple[list[str], str]:
     """Table expressions that grow a tree level by level over ``source``, and the last, whose ``node`` is each row's leaf.
 
     ``score`` is what a split should raise, over {p}<stat> of a part, the first stat being
@@ -317,3 +317,40 @@ SQL["ols_diagnostics"] = f"""WITH {_solved(_THREE, 0.0, "l_extendedprice")}, s A
     h AS (SELECT e, n, 1.0::DOUBLE / n + ((s11 * s22 - s12 * s12) * x * x + (s00 * s22 - s02 * s02) * y * y + (s00 * s11 - s01 * s01) * z * z + 2 * (s02 * s12 - s01 * s22) * x * y + 2 * (s01 * s12 - s02 * s11) * x * z + 2 * (s01 * s02 - s00 * s12) * y * z) / det AS h FROM d),
     k AS (SELECT h, n, e * e / ((SELECT sum(e * e) FROM h) / (n - 4) * (1 - h)) * h / (1 - h) / 4 AS cook FROM h)
     SELECT round(sum(h), 6) AS leverage, count(*) FILTER (cook > 4 / n) AS influential, round(max(cook), 6) AS cooks FROM k"""
+
+
+def _boosted_votes(n: int) -> str:
+    """SAMME with stumps: wrong rows gain weight by the stump's log odds; no better than chance gives no vote."""
+    parts = [f"r0 AS MATERIALIZED (SELECT {', '.join(_THREE)}, ({BIG})::INT::DOUBLE AS y, 1.0::DOUBLE / count(*) OVER () AS w, 0.0::DOUBLE AS v FROM lineitem)"]
+    for k in range(n):
+        own, last = _grown(f"a{k}", f"SELECT {', '.join(_THREE)}, y, w, v, w AS n, w * y AS s FROM r{k}", 1, _THREE, ["n", "s"], _GINI, "1e-200")
+        parts += [*own, f"g{k} AS MATERIALIZED (SELECT *, (sum(s) OVER (PARTITION BY node) / sum(w) OVER (PARTITION BY node) > 0.5)::INT::DOUBLE AS guess FROM {last})"]
+        parts.append(f"e{k} AS MATERIALIZED (SELECT err, CASE WHEN err >= 0.5 THEN 0.0::DOUBLE ELSE ln((1 - err) / err) END AS alpha FROM (SELECT least(greatest(sum(CASE WHEN guess <> y THEN w ELSE 0 END) / sum(w), 1e-10), 1 - 1e-10) AS err FROM g{k}))")
+        parts.append(f"r{k + 1} AS MATERIALIZED (SELECT {', '.join(_THREE)}, y, w * CASE WHEN guess <> y THEN exp(alpha) ELSE 1 END / (1 + err * (exp(alpha) - 1)) AS w, v + alpha * (2 * guess - 1) AS v FROM g{k}, e{k})")
+    return f"WITH {', '.join(parts)} SELECT round(avg(((v > 0)::INT = y)::INT::DOUBLE), 4) AS accuracy FROM r{n}"
+
+
+SQL["adaboost_classifier"] = _boosted_votes(3)
+
+
+def _boosted_medians(n: int, depth: int) -> str:
+    """AdaBoost.R2 with linear loss: the weighted median of the trees' predictions."""
+    seen: list[str] = []
+    parts = [f"r0 AS MATERIALIZED (SELECT {', '.join(_THREE)}, l_extendedprice AS y, 1.0::DOUBLE / count(*) OVER () AS w FROM lineitem)"]
+    for k in range(n):
+        kept = "".join(f", {x}" for x in seen)
+        own, last = _grown(f"a{k}", f"SELECT {', '.join(_THREE)}, y, w{kept}, w AS n, w * y AS s FROM r{k}", depth, _THREE, ["n", "s"], "{p}s * {p}s / {p}n", "1e-200")
+        parts += [*own, f"g{k} AS MATERIALIZED (SELECT *, sum(s) OVER (PARTITION BY node) / sum(w) OVER (PARTITION BY node) AS p{k} FROM {last})"]
+        parts.append(f"e{k} AS MATERIALIZED (SELECT top, CASE WHEN mean >= 0.5 THEN 0.0::DOUBLE ELSE ln((1 - mean) / greatest(mean, 1e-10)) END AS a{k} FROM (SELECT any_value(top) AS top, sum(w * abs(y - p{k}) / top) / sum(w) AS mean FROM g{k}, (SELECT max(abs(y - p{k})) AS top FROM g{k})))")
+        seen += [f"p{k}", f"a{k}"]
+        parts.append(f"r{k + 1} AS MATERIALIZED (SELECT {', '.join(_THREE)}, y, w * exp(-a{k} * (1 - abs(y - p{k}) / top)) AS w{''.join(f', {x}' for x in seen)} FROM g{k}, e{k})")
+    half = " + ".join(f"a{k}" for k in range(n))
+    upto = lambda i: " + ".join(f"CASE WHEN p{k} <= p{i} THEN a{k} ELSE 0 END" for k in range(n))
+    median = ", ".join(f"CASE WHEN {upto(i)} >= ({half}) / 2 THEN p{i} END" for i in range(n))
+    return f"WITH {', '.join(parts)} SELECT round(corr(least({median}), y), 4) AS r FROM r{n}"
+
+
+SQL["adaboost_regressor"] = _boosted_medians(3, 3)
+SQL["knn_imputer_small"] = """WITH s AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal END AS a, s_nationkey::DOUBLE AS b FROM supplier),
+    n AS (SELECT q.id, d.a, row_number() OVER (PARTITION BY q.id ORDER BY abs(q.b - d.b), d.id) AS r FROM s q JOIN s d ON q.id <> d.id AND q.a IS NULL AND d.a IS NOT NULL), f AS (SELECT id, avg(a) AS v FROM n WHERE r <= 3 GROUP BY id)
+    SELECT id, round(coalesce(a, v, (SELECT avg(a) FROM s)), 4) AS a, round(b, 4) AS b FROM s LEFT JOIN f USING (id)"""

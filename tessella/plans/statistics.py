@@ -346,12 +346,18 @@ def smote_counts(spark, d):
     return N.smote(_imbalanced(spark, d), "label").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@register("borderline_smote_counts")
+def _resampled(m: int, condition: str) -> str:
+    """The minority reaches the majority if any of its rows qualifies by the share of other classes among its m nearest."""
+    return f"""WITH {_NEAR}, h AS (SELECT q, avg(((yq >= 8) <> (yj >= 8))::INT) AS share, any_value(yq >= 8) AS minority FROM n WHERE r <= {m} GROUP BY q), c AS (SELECT count(*) FILTER (label < 8) AS n0, count(*) FILTER (label >= 8) AS n1 FROM embeddings), e AS (SELECT count(*) AS d FROM h WHERE minority AND {condition})
+    SELECT 0 AS label, n0 AS n FROM c UNION ALL SELECT 1, CASE WHEN d > 0 THEN greatest(n0, n1) ELSE n1 END FROM c, e"""
+
+
+@register("borderline_smote_counts", _resampled(10, "share >= 0.5 AND share < 1"))
 def borderline_smote_counts(spark, d):
     return N.borderline_smote(_imbalanced(spark, d), "label").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@register("adasyn_counts")
+@register("adasyn_counts", _resampled(5, "share > 0"))
 def adasyn_counts(spark, d):
     return N.adasyn(_imbalanced(spark, d), "label").groupBy("label").agg(F.count("*").alias("n"))
 
