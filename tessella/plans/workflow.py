@@ -11,9 +11,11 @@ from tessella.errors import InvalidInput
 from tessella.frame import Dataset, check_finite, drop_constant
 from tessella.functions import specfun as sf
 from tessella.operators import bayes as B
+from tessella.operators import cluster as C
 from tessella.operators import compose as E
 from tessella.operators import decomposition as D
 from tessella.operators import explain as X
+from tessella.operators import kernels as G
 from tessella.operators import linear as L
 from tessella.operators import metrics as M
 from tessella.operators import preprocessing as P
@@ -25,7 +27,7 @@ from tessella.operators.text import CountVectorizer
 from tessella.plans.iterations import _THREE, fold_scores
 from tessella.plans.models import _TOKENS, _flat, _line, _row
 from tessella.plans.registry import SQL, register, rounded, table
-from tessella.plans.statistics import _GROUPS, _PRED, _pred
+from tessella.plans.statistics import _GROUPS, _NEAR, _PRED, _pred
 from tessella.plans.tables import _FOLDS
 from tessella.sources import files, models
 
@@ -533,3 +535,67 @@ SQL["drift"] = """WITH r AS (SELECT value AS x FROM events WHERE event_id % 2 =
     a AS (SELECT len(list_filter(q, lambda z: z <= x)) AS b, count(*)::DOUBLE AS p FROM r, e GROUP BY 1), z AS (SELECT len(list_filter(q, lambda z: z <= x)) AS b, count(*)::DOUBLE AS p FROM c, e GROUP BY 1),
     j AS (SELECT greatest(coalesce(a.p, 0) / (SELECT count(*) FROM r), 1e-6) AS p, greatest(coalesce(z.p, 0) / (SELECT count(*) FROM c), 1e-6) AS q FROM a FULL JOIN z USING (b))
     SELECT round(sum((p - q) * ln(p / q)), 6) AS psi, round(((SELECT avg(x) FROM c) - (SELECT avg(x) FROM r)) / (SELECT stddev_pop(x) FROM r), 6) AS mean_shift FROM j"""
+
+
+# searches whose drawings don't matter to the result
+
+
+@register("learning_curve", f"WITH {fold_scores(3, [0.0])} SELECT 1.0::DOUBLE AS size, round(avg(r2), 6) AS r2 FROM scores")
+def learning_curve(spark, d):
+    found = H.learning_curve(L.LinearRegression, _line(spark, d), ["l_quantity"], "l_extendedprice", ["id"], sizes=(1.0,), folds=3)
+    return rounded(spark.createDataFrame([(s, r.mean) for s, r in found.items()], "size double, r2 double"), ["r2"])
+
+
+@register("randomized_search", f"WITH {fold_scores(2, [1e6])} SELECT t::INT AS trial, round(avg(r2), 6) AS r2 FROM scores, (VALUES (0), (1)) v(t) GROUP BY t")
+def randomized_search(spark, d):
+    study = H.randomized_search(L.Ridge, {"alpha": H.Param(choices=(1e6,))}, 2, _line(spark, d), ["l_quantity"], "l_extendedprice", ["id"], folds=2)
+    return rounded(spark.createDataFrame([(i, t.value) for i, t in enumerate(study.trials)], "trial int, r2 double"), ["r2"])
+
+
+@register("samplers", "SELECT sampler, 24::BIGINT AS trials, true AS within, true AS near_best FROM (VALUES ('random'), ('tpe'), ('bayes'), ('grid')) v(sampler)")
+def samplers(spark, d):
+    space, rows = {"x": H.Param(0.0, 1.0), "k": H.Param(1, 9, "int")}, []
+    for name, sampler in (("random", H.RandomSampler()), ("tpe", H.TPESampler()), ("bayes", H.BayesSampler()), ("grid", H.GridSampler(4))):
+        study = H.Study(space, sampler=sampler)
+        best = study.optimise(lambda p: -((p["x"] - 0.3) ** 2) - (p["k"] - 6) ** 2 / 100, 24)
+        inside = all(0 <= t.params["x"] <= 1 and t.params["k"] in range(1, 10) for t in study.trials)
+        rows.append((name, len(study.trials), inside, best.value == max(t.value for t in study.trials) and best.value > -0.1))
+    return spark.createDataFrame(rows, "sampler string, trials long, within boolean, near_best boolean")
+
+
+@register("elbow", "WITH i AS (SELECT k, 1000.0::DOUBLE / (k * k) AS v FROM (SELECT unnest(range(1, 9)) AS k)) SELECT arg_max(k, 1000 + (1000 / 64.0::DOUBLE - 1000) * (k - 1) / 7.0::DOUBLE - v)::INT AS k FROM i")
+def elbow_query(spark, d):
+    return spark.createDataFrame([(C.elbow({k: 1000.0 / (k * k) for k in range(1, 9)}),)], "k int")
+
+
+@register("hopkins", "SELECT true AS clustered, true AS bounded")
+def hopkins(spark, d):
+    h = M.hopkins(table(spark, d, "embeddings"), "vec_id", "embedding")
+    return spark.createDataFrame([(h > 0.5, 0 <= h <= 1)], "clustered boolean, bounded boolean")
+
+
+_KERNELS = {
+    "rbf": (G.Kernel("rbf", 10.0), "exp(-1 * pow(a - b, 2) / 200)"),
+    "matern_half": (G.Kernel("matern", 5.0, 0.5), "exp(-abs(a - b) / 5)"),
+    "matern_three_halves": (G.Kernel("matern", 5.0, 1.5), "(1 + sqrt(3) * abs(a - b) / 5) * exp(-sqrt(3) * abs(a - b) / 5)"),
+    "matern_five_halves": (G.Kernel("matern", 5.0, 2.5), "(1 + sqrt(5) * abs(a - b) / 5 + 5 * (a - b) ** 2 / 75) * exp(-sqrt(5) * abs(a - b) / 5)"),
+    "linear": (G.Kernel("linear", 4.0), "a * b / 4"),
+    "poly": (G.Kernel("poly", 100.0, degree=3, coef=1.0), "(a * b / 100 + 1) ** 3"),
+}
+
+
+@register("gp_kernels", "WITH n AS (SELECT n_nationkey::DOUBLE AS k FROM nation), p AS (SELECT x.k AS a, y.k AS b FROM n x, n y) " + " UNION ALL ".join(f"SELECT '{k}' AS kernel, round(sum({sql}), 6) AS total, round(max({sql}), 6) AS most FROM p" for k, (_, sql) in _KERNELS.items()))
+def gp_kernels(spark, d):
+    x = np.array([[float(r[0])] for r in table(spark, d, "nation").select("n_nationkey").collect()])
+    found = [(name, float(kernel(x, x).sum()), float(kernel(x, x).max())) for name, (kernel, _) in _KERNELS.items()]
+    return rounded(spark.createDataFrame(found, "kernel string, total double, most double"), ["total", "most"])
+
+
+_CENTILES = ", ".join(str(i / 100) for i in range(101))
+
+
+@register("dbscan_eps", f"""WITH {_NEAR}, k AS (SELECT d FROM n WHERE r = 5), q AS (SELECT unnest(range(101)) AS i, unnest(quantile_cont(d, [{_CENTILES}])) AS q FROM k)
+    SELECT round(arg_max(q, low + (high - low) * i / 100 - q), 6) AS eps FROM q, (SELECT min(q) AS low, max(q) AS high FROM q)""")
+def dbscan_eps(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return rounded(_row(spark, eps=C.optimal_eps(v, 5)), ["eps"])
