@@ -16,3 +16,10 @@ def test_ranks_by_ranges_of_the_order(spark, monkeypatch):
     ranks = {r.x: r["rank"] for r in stats.average_ranks(df, F.col("x")).collect()}
     values = sorted(x for _, x in rows)
     assert all(ranks[x] == values.index(x) + (values.count(x) + 1) / 2 for x in set(values))
+
+
+def test_rank_test_by_ranges_of_the_order(spark, monkeypatch):
+    df = spark.createDataFrame([("ab"[i % 3 == 0], float(i * 37 % 50)) for i in range(120)], "g string, x double")
+    whole = stats.mann_whitney_test(df, "x", "g", "a", "b")
+    monkeypatch.setattr(stats, "in_order", partial(frame.in_order, limit=5))
+    assert stats.mann_whitney_test(df, "x", "g", "a", "b") == whole
