@@ -39,7 +39,7 @@ def test_exact_quantile(spark, few):
     assert frame.exact_quantile(df.limit(0), F.col("x")) is None
 
 
-@pytest.mark.parametrize("kind", ["bisquare", "andrews", "hampel"])
+@pytest.mark.parametrize("kind", ["bisquare", "andrews", "hampel", "huber"])
 def test_robust_fit_sorts_no_residuals(spark, kind, monkeypatch):
     rng = np.random.default_rng(1)
     df = spark.createDataFrame([(float(x), float(2 * x + e)) for x, e in rng.normal(0, 1, (200, 2))], "x double, y double")
