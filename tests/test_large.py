@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tessella import frame
-from tessella.operators import linear, stats
+from tessella.operators import cluster, linear, stats
 
 
 def test_ranks_by_ranges_of_the_order(spark, monkeypatch):
@@ -49,3 +49,30 @@ def test_robust_fit_sorts_no_residuals(spark, kind, monkeypatch):
 
     monkeypatch.setattr(linear.F, "percentile", never)
     assert abs(linear.RobustRegression(kind).fit(df, ["x"], "y").coefficients[0] - 2) < 0.3
+
+
+def merged(x, k, linkage):
+    """Merges of the closest pair, one by one."""
+    parts = [[i] for i in range(len(x))]
+
+    def gap(a, b):
+        d = np.sqrt(((x[a][:, None] - x[b][None]) ** 2).sum(-1))
+        if linkage == "ward":
+            return len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum()
+        return {"complete": d.max, "average": d.mean, "single": d.min}[linkage]()
+
+    while len(parts) > k:
+        i, j = min(((i, j) for j in range(len(parts)) for i in range(j)), key=lambda p: gap(parts[p[0]], parts[p[1]]))
+        parts[i] = parts[i] + parts.pop(j)
+    return {i: c for c, p in enumerate(sorted(parts, key=min)) for i in p}
+
+
+@pytest.mark.parametrize("linkage", ["average"])
+def test_hierarchies_over_copies(spark, linkage):
+    x = np.random.default_rng(2).normal(0, 1, (25, 2))
+    x = np.concatenate([x, x[:10]])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double")
+    assert {r.id: r.cluster for r in cluster.agglomerative(df, ["a", "b"], 4, linkage).collect()} == merged(x, 4, linkage)
+    assert len({r.cluster for r in cluster.agglomerative(df, ["a", "b"], 30, linkage).collect()}) == 30
+    copies = df.select("id", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(149))).alias("k")).selectExpr("k * 35 + id AS id", "a", "b")
+    assert cluster.agglomerative(copies, ["a", "b"], 4, linkage).groupBy("cluster").count().count() == 4  # 5,250 rows
