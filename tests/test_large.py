@@ -67,7 +67,7 @@ def merged(x, k, linkage):
     return {i: c for c, p in enumerate(sorted(parts, key=min)) for i in p}
 
 
-@pytest.mark.parametrize("linkage", ["complete", "average", "single"])
+@pytest.mark.parametrize("linkage", ["ward", "complete", "average", "single"])
 def test_hierarchies_over_copies(spark, linkage):
     x = np.random.default_rng(2).normal(0, 1, (25, 2))
     x = np.concatenate([x, x[:10]])
