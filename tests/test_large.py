@@ -76,3 +76,11 @@ def test_hierarchies_over_copies(spark, linkage):
     assert len({r.cluster for r in cluster.agglomerative(df, ["a", "b"], 30, linkage).collect()}) == 30
     copies = df.select("id", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(149))).alias("k")).selectExpr("k * 35 + id AS id", "a", "b")
     assert cluster.agglomerative(copies, ["a", "b"], 4, linkage).groupBy("cluster").count().count() == 4  # 5,250 rows
+
+
+def test_hdbscan_beyond_3000_rows(spark):
+    x = np.random.default_rng(3).normal(0, 0.1, (3200, 2)) + np.repeat([[0, 0], [5, 5]], 1600, axis=0)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double")
+    found = {r.id: r.cluster for r in cluster.hdbscan(df, ["a", "b"], 400).collect()}
+    sides = [{found[i] for i in range(at, at + 1600)} - {-1} for at in (0, 1600)]
+    assert len(found) == 3200 and all(sides) and not sides[0] & sides[1]
