@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tessella import frame
-from tessella.operators import cluster, linear, stats
+from tessella.operators import cluster, kernels, linear, stats
 
 
 def test_ranks_by_ranges_of_the_order(spark, monkeypatch):
@@ -84,3 +84,8 @@ def test_hdbscan_beyond_3000_rows(spark):
     found = {r.id: r.cluster for r in cluster.hdbscan(df, ["a", "b"], 400).collect()}
     sides = [{found[i] for i in range(at, at + 1600)} - {-1} for at in (0, 1600)]
     assert len(found) == 3200 and all(sides) and not sides[0] & sides[1]
+
+
+def test_network_takes_more_than_50000_rows(spark):
+    df = spark.range(60_000).selectExpr("cast(id % 97 AS double) AS a", "cast(id % 97 > 48 AS int) AS y")
+    assert kernels.MLP((4,), epochs=2).fit(df, ["a"], "y").predict(df).filter("prediction = y").count() > 54_000
