@@ -89,3 +89,19 @@ def test_hdbscan_beyond_3000_rows(spark):
 def test_network_takes_more_than_50000_rows(spark):
     df = spark.range(60_000).selectExpr("cast(id % 97 AS double) AS a", "cast(id % 97 > 48 AS int) AS y")
     assert kernels.MLP((4,), epochs=2).fit(df, ["a"], "y").predict(df).filter("prediction = y").count() > 54_000
+
+
+def test_kernel_machine_over_copies(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (60, 2))
+    df = spark.createDataFrame([(i, *map(float, v), int(v[0] + v[1] + e > 0)) for i, (v, e) in enumerate(zip(x, rng.normal(0, 0.8, 60)))], "id long, a double, b double, y int")
+    copies = df.select("id", "a", "b", "y", F.explode(F.sequence(F.lit(1), F.lit(60))).alias("k"))  # 3,600 rows
+
+    def decisions(model):
+        return np.array([r.decision for r in model.predict(df).orderBy("id").collect()])
+
+    whole = decisions(kernels.SVC(1.0, tol=1e-7).fit(copies, ["a", "b"], "y"))
+    assert np.allclose(whole, decisions(kernels.SVC(60.0, tol=1e-7).fit(df, ["a", "b"], "y")), atol=1e-4)
+    few = kernels.SVC(60.0, tol=1e-7)
+    few.CACHED = 200  # a few columns
+    assert np.allclose(whole, decisions(few.fit(df, ["a", "b"], "y")), atol=1e-4)
