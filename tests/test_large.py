@@ -105,3 +105,25 @@ def test_kernel_machine_over_copies(spark):
     few = kernels.SVC(60.0, tol=1e-7)
     few.CACHED = 200  # a few columns
     assert np.allclose(whole, decisions(few.fit(df, ["a", "b"], "y")), atol=1e-4)
+
+
+@pytest.mark.parametrize("kernel", [kernels.Kernel("rbf", 2.0), kernels.Kernel("matern", 1.0), kernels.Kernel("rbf", 2.0) + kernels.Kernel("matern", 0.5, nu=0.5), kernels.Kernel("rbf", 1.0) + kernels.Kernel("constant")])
+def test_gaussian_process_by_cells(spark, kernel):
+    rng = np.random.default_rng(5)
+    x = np.column_stack((rng.uniform(0, 400, 300), rng.normal(0, 1, 300)))
+    x[:, 0] += np.where(x[:, 0] > 250, 300, 0)  # empty cells
+    y, q = np.sin(x[:, 0]) + x[:, 1], np.column_stack((np.linspace(-20, 760, 101), np.zeros(101)))
+    df = spark.createDataFrame([(*map(float, v), float(t)) for v, t in zip(x, y)], "a double, b double, y double")
+    m = kernels.GaussianProcessRegressor(kernel, 0.1).fit(df, ["a", "b"], "y")
+    z, k, at = (y - y.mean()) / y.std(), kernel(x, x) + 0.1 * np.eye(300), kernel(q, x)
+    mean = at @ np.linalg.solve(k, z) * y.std() + y.mean()
+    var = kernel(q[:1], q[:1].copy())[0, 0] - (at * np.linalg.solve(k, at.T).T).sum(1)
+    got = m.predict(spark.createDataFrame([tuple(map(float, v)) for v in q], "a double, b double").coalesce(1)).orderBy("a").collect()
+    assert np.allclose([r.prediction for r in got], mean, atol=1e-8) and np.allclose([r["std"] for r in got], np.sqrt(var) * y.std(), atol=1e-8)
+    assert np.isclose(m.log_likelihood, -0.5 * z @ np.linalg.solve(k, z) - np.linalg.slogdet(k)[1] / 2 - 150 * np.log(2 * np.pi))
+
+
+def test_gaussian_process_beyond_3000_rows(spark):
+    df = spark.range(4000).selectExpr("cast(id AS double) AS x", "sin(id / 50) AS y")
+    found = kernels.GaussianProcessRegressor(kernels.Kernel("rbf", 10.0), 0.1).fit(df, ["x"], "y").predict(df)
+    assert found.count() == 4000 and found.filter("abs(prediction - y) < 0.05").count() > 3900
