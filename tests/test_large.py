@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tessella import frame
-from tessella.operators import cluster, kernels, linear, stats
+from tessella.operators import cluster, kernels, linear, stats, text
 
 
 def test_ranks_by_ranges_of_the_order(spark, monkeypatch):
@@ -127,3 +127,24 @@ def test_gaussian_process_beyond_3000_rows(spark):
     df = spark.range(4000).selectExpr("cast(id AS double) AS x", "sin(id / 50) AS y")
     found = kernels.GaussianProcessRegressor(kernels.Kernel("rbf", 10.0), 0.1).fit(df, ["x"], "y").predict(df)
     assert found.count() == 4000 and found.filter("abs(prediction - y) < 0.05").count() > 3900
+
+
+@pytest.mark.parametrize("metric", ["euclidean"])
+def test_sparse_distances_by_blocks(spark, monkeypatch, metric):
+    monkeypatch.setattr(text, "SPARSE_BLOCK", 7)
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1e4, (30, 600)) * (rng.random((30, 600)) < 0.05)
+    x[8], x[20], x[21] = x[3], x[3], 0  # copies in other blocks, a row without entries
+    m = text.SparseMatrix(spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x))], "row long, column long, value double"), 30, 600)
+    found = m.distances(m, metric)
+    assert "Generate" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and plan.count("SortMergeJoin") + plan.count("HashJoin") == 0  # no join of values
+    got = {(r["query"], r["row"]): r["distance"] for r in found.collect()}
+    gap, one = np.abs(x[:, None] - x[None]), x != 0
+    if metric == "cosine":
+        want = {(i, j): 1 - x[i] @ x[j] / np.sqrt((x[i] @ x[i]) * (x[j] @ x[j])) for i in range(30) for j in range(30) if (one[i] & one[j]).any()}
+    else:
+        d = np.sqrt((gap**2).sum(-1)) if metric == "euclidean" else gap.sum(-1)
+        want = {(i, j): d[i, j] for i in range(30) for j in range(30)}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-7 for k in want)
+    if metric != "cosine":
+        assert got[3, 8] == got[3, 20] == 0
