@@ -129,7 +129,7 @@ def test_gaussian_process_beyond_3000_rows(spark):
     assert found.count() == 4000 and found.filter("abs(prediction - y) < 0.05").count() > 3900
 
 
-@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "manhattan"])
 def test_sparse_distances_by_blocks(spark, monkeypatch, metric):
     monkeypatch.setattr(text, "SPARSE_BLOCK", 7)
     rng = np.random.default_rng(6)
