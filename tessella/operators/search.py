@@ -65,20 +65,30 @@ class CVResult:
 
 
 def cross_val_score(make: Callable[[], object], df: DataFrame, columns: Sequence[str], target: str, order: Sequence[str], score: Scorer = r2, folds: int = 5, stratified: bool = False, train_scores: bool = False) -> CVResult:
-    folded = (stratified_kfold(df, folds, target, order, "__fold") if stratified else kfold(df, folds, order, "__fold")).persist()
-    got, trained, failed = [], [], []
+    folded = _folded(df, columns, target, order, folds, stratified).persist()
     try:
-        for f in range(folds):
-            train, test = folded.filter(F.col("__fold") != f).drop("__fold"), folded.filter(F.col("__fold") == f).drop("__fold")
-            try:
-                model = make().fit(train, list(columns), target)
-                got.append(float(score(model.predict(test), target, "prediction")))
-                if train_scores:
-                    trained.append(float(score(model.predict(train), target, "prediction")))
-            except InvalidInput as error:
-                failed.append(f"fold {f}: {error}")
+        return _fold_scores(make, folded, columns, target, score, folds, train_scores)
     finally:
         folded.unpersist()
+
+
+def _folded(df: DataFrame, columns: Sequence[str], target: str, order: Sequence[str], folds: int, stratified: bool) -> DataFrame:
+    """The columns that models and scores read, with the number of the fold."""
+    df = df.select(*dict.fromkeys([*columns, target, *order]))
+    return stratified_kfold(df, folds, target, order, "__fold") if stratified else kfold(df, folds, order, "__fold")
+
+
+def _fold_scores(make: Callable[[], object], folded: DataFrame, columns: Sequence[str], target: str, score: Scorer, folds: int, train_scores: bool) -> CVResult:
+    got, trained, failed = [], [], []
+    for f in range(folds):
+        train, test = folded.filter(F.col("__fold") != f).drop("__fold"), folded.filter(F.col("__fold") == f).drop("__fold")
+        try:
+            model = make().fit(train, list(columns), target)
+            got.append(float(score(model.predict(test), target, "prediction")))
+            if train_scores:
+                trained.append(float(score(model.predict(train), target, "prediction")))
+        except InvalidInput as error:
+            failed.append(f"fold {f}: {error}")
     if not got:
         raise InvalidInput(f"every fold failed: {failed}")
     return CVResult(tuple(got), tuple(trained), tuple(failed))
@@ -99,7 +109,12 @@ def learning_curve(make, df, columns, target, order, sizes: Sequence[float] = (0
 
 
 def validation_curve(make: Callable[..., object], df, columns, target, order, name: str, values: Sequence, score: Scorer = r2, folds: int = 5) -> dict:
-    return {v: cross_val_score(lambda: make(**{name: v}), df, columns, target, order, score, folds, train_scores=True) for v in values}
+    """Scores for each value; the folds are dealt once."""
+    folded = _folded(df, columns, target, order, folds, False).persist()
+    try:
+        return {v: _fold_scores(lambda: make(**{name: v}), folded, columns, target, score, folds, True) for v in values}
+    finally:
+        folded.unpersist()
 
 
 @dataclass(frozen=True)

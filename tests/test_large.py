@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tessella import frame
-from tessella.operators import cluster, kernels, linear, stats, text
+from tessella.operators import cluster, kernels, linear, splits, stats, text
 
 
 def test_ranks_by_ranges_of_the_order(spark, monkeypatch):
@@ -148,3 +148,17 @@ def test_sparse_distances_by_blocks(spark, monkeypatch, metric):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-7 for k in want)
     if metric != "cosine":
         assert got[3, 8] == got[3, 20] == 0
+
+
+def test_folds_by_cuts(spark, monkeypatch):
+    ids = np.random.default_rng(7).permutation(50)
+    df = spark.createDataFrame([(int(i) * 3,) for i in ids], "id long")
+    want = {r.id: r.fold for r in splits.kfold(df, 4, ["id"]).collect()}
+    tied = spark.createDataFrame([(int(i) // 9,) for i in ids], "id long")
+    sizes = sorted(r["count"] for r in splits.kfold(tied, 4, ["id"], limit=10).groupBy("fold").count().collect())
+
+    def never(*_):
+        raise AssertionError("rows are numbered")
+
+    monkeypatch.setattr(splits, "in_order", never)
+    assert {r.id: r.fold for r in splits.kfold(df, 4, ["id"], limit=10).collect()} == want and sizes == [12, 12, 13, 13]
