@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tessella import frame
-from tessella.operators import cluster, kernels, linear, splits, stats, text
+from tessella.operators import cluster, kernels, linear, pairs, splits, stats, text
 
 
 def test_ranks_by_ranges_of_the_order(spark, monkeypatch):
@@ -162,3 +162,38 @@ def test_folds_by_cuts(spark, monkeypatch):
 
     monkeypatch.setattr(splits, "in_order", never)
     assert {r.id: r.fold for r in splits.kfold(df, 4, ["id"], limit=10).collect()} == want and sizes == [12, 12, 13, 13]
+
+
+def test_close_pairs_at_the_edge():
+    rng = np.random.default_rng(8)
+    x = rng.integers(-9, 10, (150, 3)).astype(float)
+    for shift in (0.0, 1e6, 1e200):
+        a = x + shift
+        for eps in (0.0, 3.0, 5.0, float(np.sqrt(14))):
+            assert (pairs.close(a, a[::-1], eps) == (pairs.distances(a, a[::-1]) <= eps)).all()
+
+
+def test_dbscan_makes_no_row_for_a_link(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(c, 0.25, (40, 2)) for c in (0, 2, 9)] + [rng.uniform(-3, 12, (40, 2))])
+    ids = rng.permutation(len(x)) * 7
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= 0.5
+    core, label = near.sum(1) >= 5, {}
+    for i in sorted(np.flatnonzero(core), key=lambda i: ids[i]):
+        if i not in label:
+            work, label[i] = [i], len(set(label.values()))
+            while work:
+                found = [j for j in np.flatnonzero(near[work.pop()] & core) if j not in label]
+                label |= dict.fromkeys(found, label[i])
+                work += found
+    want = {int(ids[i]): int(label.get(i, min((label[j] for j in np.flatnonzero(near[i] & core)), default=-1))) for i in range(len(x))}
+    df = spark.createDataFrame([(int(i), list(map(float, v))) for i, v in zip(ids, x)], "id long, vector array<double>")
+
+    def never(*_):
+        raise AssertionError("a row for each link")
+
+    monkeypatch.setattr(cluster.DBSCAN, "links", never)
+    monkeypatch.setattr(pairs, "BLOCK", 13)
+    model = cluster.DBSCAN(0.5, 5)
+    assert {r.id: r.cluster for r in model.fit_predict(df).collect()} == want and len(set(want.values())) > 3
+    assert {r.id: r.n for r in model.core_points(df).collect()} == {int(ids[i]): int(near[i].sum()) for i in np.flatnonzero(core)}
