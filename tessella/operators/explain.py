@@ -8,30 +8,117 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.frame import clean, in_order
+from tessella.frame import clean, settled
 from tessella.functions.specfun import t_quantile
 from tessella.operators.trees import Node
 
 Predict = Callable[[DataFrame], DataFrame]
 
 
+#: Rows of a piece of the order, and leading bits of a hash, whose values stay together.
+PIECE, BITS = 1 << 16, 12
+
+
+def _packed(a: pa.Array | pa.RecordBatch) -> bytes:
+    batch = a if isinstance(a, pa.RecordBatch) else pa.record_batch([a], ["v"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as to:
+        to.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(x: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(x.as_buffer()).read_next_batch()
+
+
+def _pieces(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The rows by ranges of the first column, sorted and packed: (piece, data), the first row of each range, the first piece of each.
+
+    Pieces count on from range to range; those of a range hold PIECE rows, the last one what is left.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = piece = 0
+        row = lambda: pa.RecordBatch.from_pydict({"at": [piece], "n": [size], "data": pa.array([_packed(pa.Table.from_batches(held).combine_chunks().to_batches()[0])], pa.binary())})
+        for batch in batches:
+            while batch.num_rows:
+                held.append(batch.slice(0, PIECE - size))
+                size, batch = size + held[-1].num_rows, batch.slice(held[-1].num_rows)
+                if size == PIECE:
+                    yield row()
+                    held, size, piece = [], 0, piece + 1
+        if size:
+            yield row()
+
+    packed = settled(df.repartitionByRange(order[0]).sortWithinPartitions(*order).mapInArrow(pack, "at long, n long, data binary").withColumn("part", F.spark_partition_id()))
+    found = sorted(packed.groupBy("part").agg(F.sum("n"), F.count("*")).collect())
+    starts, first = (np.cumsum([0, *[r[i] for r in found]]) for i in (1, 2))
+    named = df.sparkSession.createDataFrame([(r["part"], int(k)) for r, k in zip(found, first)], "part int, first long")
+    return packed.join(F.broadcast(named), "part").select((F.col("first") + F.col("at")).alias("piece"), "data"), starts, first
+
+
+def _shuffled(df: DataFrame, pieces: tuple[DataFrame, np.ndarray, np.ndarray], column: str, row_id: str, seed: int) -> DataFrame:
+    """The packed rows, where the row at a place of their order has the value at that place of a hashed order.
+
+    Hashes are dealt by their leading bits; the counts of those give each value its place.
+    """
+    packed, starts, first = pieces
+    values = df.select(F.xxhash64(row_id, F.lit(column), F.lit(seed)).alias("h"), F.col(row_id).alias("id"), F.col(column).alias("v"))
+    lead = F.shiftright("h", 64 - BITS).cast("int")
+    begin, n = {}, 0
+    for r in sorted(values.groupBy(lead.alias("b")).agg(F.count("*").alias("n")).collect()):
+        begin[r["b"]], n = n, n + r["n"]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at = None, 0
+        for batch in batches:
+            b, v = batch.column(0).to_numpy(), batch.column(1)
+            for low, high in itertools.pairwise([0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)]):
+                if low < high and b[low] != now:
+                    now = b[low]
+                    at = begin[int(now)]
+                while low < high:
+                    part = int(np.searchsorted(starts, at, "right")) - 1
+                    piece, skip = divmod(at - int(starts[part]), PIECE)
+                    k = min(high - low, PIECE - skip, int(starts[part + 1]) - at)
+                    yield pa.RecordBatch.from_pydict({"piece": [int(first[part]) + piece], "at": [skip], "data": pa.array([_packed(v.slice(low, k))], pa.binary())})
+                    low, at = low + k, at + k
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Array] = []
+        for batch in batches:
+            for at, data in zip(batch.column(0), batch.column(1)):
+                found = _unpacked(data)
+                if at.as_py() >= 0:  # a piece's values come first
+                    held.append(found.column(0))
+                    continue
+                i = found.schema.get_field_index(column)
+                yield found.set_column(i, found.schema.field(i), pa.concat_arrays(held))
+                held = []
+
+    dealt = values.repartition(lead).sortWithinPartitions("h", "id", "v").select(lead.alias("b"), "v").mapInArrow(place, "piece long, at long, data binary")
+    # the rows have the place PIECE as seen by the sort, -1 as seen by fill
+    both = dealt.unionByName(packed.select("piece", F.lit(PIECE).cast("long").alias("at"), "data"))
+    met = both.repartition("piece").sortWithinPartitions("piece", "at").select(F.when(F.col("at") < PIECE, F.col("at")).otherwise(-1).alias("at"), "data")
+    return met.mapInArrow(fill, df.schema)
+
+
 def permutation_importance(predict: Predict, df: DataFrame, columns: Sequence[str], target: str, score: Callable[[DataFrame, str, str], float], row_id: str, repeats: int = 5, seed: int = 0) -> dict[str, tuple[float, float, float, float]]:
     """Mean, deviation and t interval of the score's fall when a column is shuffled.
 
-    The shuffle joins rows in id order with values in hashed order.
+    The shuffle gives rows in id order the values in hashed order. Rows are sorted and
+    stored once, with all columns of ``df``; a shuffle sorts the values alone.
     """
     base = score(predict(df), target, "prediction")
-    numbered = in_order(df, [row_id])
+    pieces = _pieces(df, list(dict.fromkeys([row_id, *columns, target])))
     found = {}
     for c in columns:
-        falls = []
-        for r in range(repeats):
-            values = in_order(df.select(F.col(c).alias("__v"), row_id), [F.xxhash64(row_id, F.lit(c), F.lit(seed + r)), row_id]).select("__v", "__i")
-            shuffled = numbered.join(values, "__i").withColumn(c, F.col("__v")).drop("__v", "__i")
-            falls.append(base - score(predict(shuffled), target, "prediction"))
+        falls = [base - score(predict(_shuffled(df, pieces, c, row_id, seed + r)), target, "prediction") for r in range(repeats)]
         m = sum(falls) / repeats
         s = math.sqrt(sum((x - m) ** 2 for x in falls) / max(repeats - 1, 1))
         half = t_quantile(0.975, repeats - 1) * s / math.sqrt(repeats) if repeats > 1 else 0.0

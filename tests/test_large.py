@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tessella import frame
-from tessella.operators import cluster, kernels, linear, pairs, splits, stats, text
+from tessella.operators import cluster, explain, kernels, linear, pairs, splits, stats, text
 
 
 def test_ranks_by_ranges_of_the_order(spark, monkeypatch):
@@ -197,3 +197,21 @@ def test_dbscan_makes_no_row_for_a_link(spark, monkeypatch):
     model = cluster.DBSCAN(0.5, 5)
     assert {r.id: r.cluster for r in model.fit_predict(df).collect()} == want and len(set(want.values())) > 3
     assert {r.id: r.n for r in model.core_points(df).collect()} == {int(ids[i]): int(near[i].sum()) for i in np.flatnonzero(core)}
+
+
+def test_shuffles_by_pieces(spark, monkeypatch):
+    monkeypatch.setattr(explain, "PIECE", 7)
+
+
+    df = spark.range(100).selectExpr("id * 3 AS id", "cast(nullif(id % 17, 5) AS double) AS a", "cast(id AS double) AS y", "concat('t', id) AS t").repartition(3)
+    seen = []
+
+    def score(d, y, p):
+        seen.append({r.id: (r.a, r.y, r.t) for r in d.collect()})
+        return 0.0
+
+    explain.permutation_importance(lambda d: d, df, ["a"], "y", score, "id", 2)
+    rows = sorted(df.collect())
+    for k, found in enumerate(seen[1:]):
+        hashed = df.orderBy(F.xxhash64("id", F.lit("a"), F.lit(k)), "id").collect()
+        assert found == {r.id: (h.a, r.y, r.t) for r, h in zip(rows, hashed)}
