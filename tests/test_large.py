@@ -117,6 +117,19 @@ def test_hierarchies_over_copies(spark, linkage):
     assert cluster.agglomerative(copies, ["a", "b"], 4, linkage).groupBy("cluster").count().count() == 4  # 5,250 rows
 
 
+@pytest.mark.parametrize("linkage", ["average"])
+def test_hierarchies_without_a_matrix(spark, linkage, monkeypatch):
+    for name, small in (("FEW", 7), ("LEAF", 4), ("HELD", 60)):
+        monkeypatch.setattr(cluster, name, small)
+    x = np.random.default_rng(12).normal(0, 1, (60, 2)) * np.repeat([[0.1], [1], [3]], 20, axis=0)
+    x = np.concatenate([x, x[::3]])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double")
+    for k in (3, 9):
+        assert {r.id: r.cluster for r in cluster.agglomerative(df, ["a", "b"], k, linkage, max_rows=50).collect()} == merged(x, k, linkage)
+    grid = df.selectExpr("id", "cast(id % 9 AS double) AS a", "cast(floor(id / 9) AS double) AS b")  # nothing but ties
+    assert cluster.agglomerative(grid, ["a", "b"], 5, linkage).groupBy("cluster").count().count() == 5
+
+
 def test_hdbscan_beyond_3000_rows(spark):
     x = np.random.default_rng(3).normal(0, 0.1, (3200, 2)) + np.repeat([[0, 0], [5, 5]], 1600, axis=0)
     df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double")
