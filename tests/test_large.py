@@ -117,7 +117,7 @@ def test_hierarchies_over_copies(spark, linkage):
     assert cluster.agglomerative(copies, ["a", "b"], 4, linkage).groupBy("cluster").count().count() == 4  # 5,250 rows
 
 
-@pytest.mark.parametrize("linkage", ["average"])
+@pytest.mark.parametrize("linkage", ["average", "complete"])
 def test_hierarchies_without_a_matrix(spark, linkage, monkeypatch):
     for name, small in (("FEW", 7), ("LEAF", 4), ("HELD", 60)):
         monkeypatch.setattr(cluster, name, small)
