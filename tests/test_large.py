@@ -202,6 +202,24 @@ def test_sparse_distances_by_blocks(spark, monkeypatch, metric):
         assert got[3, 8] == got[3, 20] == 0
 
 
+@pytest.mark.parametrize("metric", ["cosine"])
+def test_sparse_distances_of_equal_rows(spark, monkeypatch, metric):
+    monkeypatch.setattr(text, "SPARSE_BLOCK", 8)
+    rng = np.random.default_rng(13)
+    x = np.tile(rng.normal(0, 9, (10, 5)) * (rng.random((10, 5)) < 0.8), (4, 1))
+    x[:, 0] = 2.0
+    m = text.SparseMatrix(spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x))], "row long, column long, value double"), 40, 5)
+    found = m.distances(m, metric, 4)
+    assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()  # blocks are dealt to groups, not to pairs
+    rows = found.collect()
+    gap, size = x[:, None] - x[None], np.sqrt((x**2).sum(1))
+    want = {"cosine": 1 - x @ x.T / np.outer(size, size), "euclidean": np.sqrt((gap**2).sum(-1)), "manhattan": np.abs(gap).sum(-1)}[metric]
+    assert len(rows) == len({(r["query"], r["row"]) for r in rows}) == 1600
+    assert all(abs(r.distance - want[r["query"], r["row"]]) < 6e-5 and r.distance == round(r.distance, 4) for r in rows)
+    after = [b["row"] % 10 == a["row"] % 10 for a, b in zip(rows, rows[1:]) if a["query"] == b["query"]]
+    assert sum(after) > len(after) / 2  # copies lie together
+
+
 def test_folds_by_cuts(spark, monkeypatch):
     ids = np.random.default_rng(7).permutation(50)
     df = spark.createDataFrame([(int(i) * 3,) for i in ids], "id long")
