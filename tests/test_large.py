@@ -202,7 +202,7 @@ def test_sparse_distances_by_blocks(spark, monkeypatch, metric):
         assert got[3, 8] == got[3, 20] == 0
 
 
-@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "manhattan"])
 def test_sparse_distances_of_equal_rows(spark, monkeypatch, metric):
     monkeypatch.setattr(text, "SPARSE_BLOCK", 8)
     rng = np.random.default_rng(13)
