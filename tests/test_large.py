@@ -138,6 +138,33 @@ def test_hdbscan_beyond_3000_rows(spark):
     assert len(found) == 3200 and all(sides) and not sides[0] & sides[1]
 
 
+def test_hdbscan_on_executors(spark, monkeypatch):
+    for name, small in (("ALONE", 100), ("QUERIES", 41), ("ROWS", 97), ("KNOWN", 8)):
+        monkeypatch.setattr(cluster, name, small, raising=False)
+    rng = np.random.default_rng(14)
+    x = rng.normal(0, 1, (300, 3)) + np.repeat([[0], [40], [90]], 100, axis=0)
+    x[290:] = x[:10]  # copies
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    core = np.sort(near, axis=1)[:, 4]
+    reach, inside, want = np.maximum(near, np.maximum(core[:, None], core)), [0], []
+    while len(inside) < 300:
+        rest = np.setdiff1d(np.arange(300), inside)
+        gap = reach[np.ix_(inside, rest)]
+        want.append(gap.min())
+        inside.append(int(rest[gap.min(0).argmin()]))
+
+    def never(*_):
+        raise AssertionError("the driver compares all rows")
+
+    monkeypatch.setattr(cluster, "_spanning_tree", never)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double, c double")
+    found = {r.id: r.cluster for r in cluster.hdbscan(df, ["a", "b", "c"], 30, 4).collect()}
+    sides = [{found[i] for i in range(at, min(at + 100, 290))} - {-1} for at in (0, 100, 200)]
+    assert len(found) == 300 and [len(s) for s in sides] == [1, 1, 1] and len(set.union(*sides)) == 3
+    edges = cluster._reachability_tree(spark, x, 4)
+    assert len({(a, b) for _, a, b in edges}) == 299 and np.allclose(sorted(w for w, _, _ in edges), sorted(want))
+
+
 def test_network_takes_more_than_50000_rows(spark):
     df = spark.range(60_000).selectExpr("cast(id % 97 AS double) AS a", "cast(id % 97 > 48 AS int) AS y")
     assert kernels.MLP((4,), epochs=2).fit(df, ["a"], "y").predict(df).filter("prediction = y").count() > 54_000
